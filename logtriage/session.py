@@ -44,6 +44,13 @@ def new_table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write a table that several steps read, and read it back: computed once, survives lost executors."""
+    path = new_table_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def measured_bytes(df: DataFrame, size: Column) -> int:
     """Total of a per-row size expression, as one number."""
     return df.agg(F.coalesce(F.sum(size), F.lit(0)).cast("long")).first()[0]

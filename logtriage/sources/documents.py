@@ -14,11 +14,7 @@ def load_documents(
     """(file, text): one row per document. Logs are read line by line with scan_logs instead."""
     if not directory and not document:
         raise ValueError("either a directory or a document is needed")
-    reader = spark.read.option("wholetext", True)
-    if directory:
-        found = reader.option("recursiveFileLookup", True).text(directory)
-    else:
-        found = reader.text(document)
+    found = spark.read.text(directory or document, wholetext=True, recursiveFileLookup=bool(directory))
     return found.select(
         F.col("_metadata.file_path").alias("file"), drop_invalid_utf8(F.col("value")).alias("text")
     )
