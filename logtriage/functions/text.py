@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 WORD = r"[\p{L}\p{N}_]"
 SPACE = r"[\t-\r\x1c-\x20\x85\p{Z}]"
 TIMESTAMP = r"(\p{Nd}{4}-\p{Nd}{2}-\p{Nd}{2}[T\t-\r\x1c-\x20\x85\p{Z}]\p{Nd}{2}:\p{Nd}{2}:\p{Nd}{2})"
+# The white space that may stand between date and time.
+GAPS = "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(
+    map(chr, range(0x2000, 0x200B))
+)
 
 # What the duplicate detector removes or rewrites, in this order.
 CORE_RULES = (
@@ -54,8 +58,7 @@ def drop_invalid_utf8(text: Column) -> Column:
 def line_timestamp(line: Column) -> Column:
     """Timestamp of the first ISO-looking stamp; impossible dates and times give NULL."""
     found = F.regexp_extract(line, TIMESTAMP, 1)
-    iso = F.concat(F.substring(found, 1, 10), F.lit("T"), F.substring(found, 12, 8))
-    return F.when(found != "", iso.try_cast("timestamp_ntz"))
+    return F.translate(found, GAPS, "T" * len(GAPS)).try_cast("timestamp_ntz")
 
 
 def core_message(line: Column) -> Column:

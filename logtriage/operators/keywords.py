@@ -4,15 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logtriage.functions.patterns import FLAGS, any_keyword_regex, keyword_regex, matches
+from logtriage.functions.text import contains_any
 
 
-def any_keyword(keywords: Sequence[str], word_boundary: bool = True):
-    """One literal alternation, compiled once per task."""
-    return F.rlike(F.col("line"), F.lit(any_keyword_regex(keywords, word_boundary)))
+def any_keyword(keywords: Sequence[str], word_boundary: bool = True) -> Column:
+    """One literal alternation, compiled once per task.
+
+    Plain ASCII lines are first searched for the bare keywords, which is far cheaper than the
+    pattern; only lines with a hit, and lines with other characters, reach the pattern.
+    """
+    line = F.col("line")
+    pattern = F.rlike(line, F.lit(any_keyword_regex(keywords, word_boundary)))
+    if not all(k.isascii() and k for k in keywords):
+        return pattern
+    ascii_line = F.length(line) == F.octet_length(line)
+    return (~ascii_line | contains_any(F.upper(line), tuple(k.upper() for k in keywords))) & pattern
 
 
 def keyword_counts(

@@ -19,7 +19,7 @@ UP_TO_HERE = (Window.unboundedPreceding, 0)
 
 
 def block_of(pos: Column, lines: int = BLOCK_LINES) -> Column:
-    return F.floor(pos / lines).cast("long")
+    return F.call_function("div", pos.cast("long"), F.lit(lines))
 
 
 def _in_block(keys: Sequence[str], order) -> Window:

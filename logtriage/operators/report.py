@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logtriage.config import NO_MATCH_TEXT
 from logtriage.functions.text import strip
 
 # The report layout, which readers of the report rely on.
@@ -47,28 +48,19 @@ def truncation_text() -> Column:
     return F.when(notice != "", notice)
 
 
-def report_text(
-    outcome: DataFrame,
-    included: DataFrame,
-    keys: Sequence[str] = ("file",),
-    by_position: bool = True,
-) -> DataFrame:
-    """One report per key. The lines of a report are bounded by its budget.
+def report_text(outcomes: DataFrame, keys: Sequence[str] = ("file",)) -> DataFrame:
+    """One report per key; a fixed sentence where nothing was found.
 
     Lines keep their own line end, so joining them leaves a blank line in between.
     """
-    place = F.col("line_index") if by_position else F.struct(-F.col("priority"), F.col("line_index"))
-    entry = F.struct(place.alias("place"), F.concat("rendered", F.lit("\n")).alias("text"))
-    bodies = included.groupBy(*keys).agg(F.array_sort(F.collect_list(entry))["text"].alias("_body"))
-    lines = F.coalesce("_body", F.array().cast("array<string>"))
     notice = F.array_compact(F.array(truncation_text()))
-    return outcome.join(bodies, list(keys), "left").select(
-        *keys,
-        F.concat(
-            summary_text(),
-            F.lit("\n" + SEPARATOR + "\n\n"),
-            F.array_join(F.concat(lines, notice), "\n"),
-        ).alias("report"),
+    text = F.concat(
+        summary_text(),
+        F.lit("\n" + SEPARATOR + "\n\n"),
+        F.array_join(F.concat("lines", notice), "\n"),
+    )
+    return outcomes.select(
+        *keys, F.when(F.col("total") > 0, text).otherwise(F.lit(NO_MATCH_TEXT)).alias("report")
     )
 
 

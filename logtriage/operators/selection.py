@@ -84,49 +84,78 @@ def fit_budget(
     return candidates.drop("_rank", "_upto", "_spent")
 
 
+ENTRY = "struct<priority:bigint,line_index:bigint,text:string>"
+COUNTS = ("total", "direct", "errors", "warnings", "used_direct", "used_context")
+
+
 def count_lines(filtered: DataFrame, keys: Sequence[str] = ("file",)) -> DataFrame:
     """Totals the summary reports, over the lines before the budget cut."""
-    line, is_match = F.col("line"), F.col("is_match")
+    line = F.col("line")
     return filtered.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total"),
-        F.count_if(is_match).alias("direct"),
-        F.count_if(~is_match).alias("context"),
+        F.count_if("is_match").alias("direct"),
         F.count_if(is_problem(line)).alias("errors"),
         F.count_if(is_warning(line)).alias("warnings"),
     )
 
 
-def budget_outcome(
-    totals: DataFrame,
+def outcome(
+    kept: DataFrame,
     included: DataFrame,
+    asked: DataFrame,
     keys: Sequence[str] = ("file",),
     matches_first: bool = True,
 ) -> DataFrame:
-    """Totals with what was left out, the included count and the token estimate.
+    """One row per asked key: totals, what was left out, included count, token estimate, lines.
 
-    The included count takes a truncation notice as one more line.
+    Totals, chosen lines and asked keys are stacked and grouped once, so no join is needed and a
+    key without lines stays. The lines of a key are bounded by its budget. The included count takes
+    a truncation notice as one more line.
     """
-    used = included.groupBy(*keys).agg(
-        F.count_if("is_match").alias("used_direct"),
-        F.count_if(~F.col("is_match")).alias("used_context"),
+    is_match = F.col("is_match")
+    # Chosen lines are read in log order after matches came first, else in current order.
+    rank = F.lit(0).cast("long") if matches_first else -F.col("priority")
+    entry = F.struct(
+        rank.alias("priority"), F.col("line_index"), F.concat("rendered", F.lit("\n")).alias("text")
+    )
+    parts = (
+        _stackable(count_lines(kept, keys), keys, *[F.col(c) for c in COUNTS[:4]]),
+        _stackable(
+            included, keys, used_direct=is_match.cast("long"), used_context=(~is_match).cast("long"), entry=entry
+        ),
+        _stackable(asked, keys),
+    )
+    grouped = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy(*keys).agg(
+        *[F.sum(c).alias(c) for c in COUNTS],
+        F.array_sort(F.collect_list("entry"))["text"].alias("lines"),
     )
-    zero = lambda name: F.coalesce(name, F.lit(0))
-    joined = totals.join(used, list(keys), "left")
-    left_direct = F.col("direct") - zero("used_direct")
-    left_context = F.col("context") - zero("used_context")
-    n = zero("used_direct") + zero("used_context")
-    truncated = (left_direct + left_context > 0).cast("long")
-    split = F.lit(matches_first)
-    return joined.select(
+    left_direct = F.col("direct") - F.col("used_direct")
+    left_context = F.col("total") - F.col("direct") - F.col("used_context")
+    left = left_direct + left_context
+    included_count = F.col("used_direct") + F.col("used_context") + F.when(left > 0, 1).otherwise(0)
+    none = F.lit(0).cast("long")
+    return grouped.select(
         *keys,
         "total",
         "direct",
-        "context",
+        (F.col("total") - F.col("direct")).alias("context"),
         "errors",
         "warnings",
-        F.when(split, left_direct).otherwise(0).cast("long").alias("left_direct"),
-        F.when(split, left_context).otherwise(0).cast("long").alias("left_context"),
-        F.when(split, F.lit(0)).otherwise(left_direct + left_context).cast("long").alias("left_entries"),
-        (n + truncated).alias("included"),
-        ((n + truncated) * TOKENS_PER_LINE).alias("tokens"),
+        (left_direct if matches_first else none).alias("left_direct"),
+        (left_context if matches_first else none).alias("left_context"),
+        (none if matches_first else left).alias("left_entries"),
+        included_count.alias("included"),
+        (included_count * TOKENS_PER_LINE).alias("tokens"),
+        "lines",
+    )
+
+
+def _stackable(rows: DataFrame, keys: Sequence[str], *firsts: Column, entry: Column | None = None, **named: Column):
+    values = dict(zip(COUNTS, firsts)) | named
+    zero = F.lit(0).cast("long")
+    nothing = F.lit(None).cast(ENTRY)
+    return rows.select(
+        *keys,
+        *[values.get(c, zero).alias(c) for c in COUNTS],
+        (nothing if entry is None else entry).alias("entry"),
     )

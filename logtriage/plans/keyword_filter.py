@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logtriage.config import CHARS_PER_TOKEN, NO_MATCH_TEXT, SUMMARY_RESERVE, KeywordFilterConfig, date_bounds
+from logtriage.config import CHARS_PER_TOKEN, SUMMARY_RESERVE, KeywordFilterConfig, date_bounds
 from logtriage.functions.patterns import matches
 from logtriage.operators import report, selection
 from logtriage.operators.keywords import any_keyword
@@ -16,6 +16,7 @@ from logtriage.operators.requests import bounds, with_patterns
 from logtriage.session import join_small
 
 REQUEST = ["request_id"]
+SETTINGS = ["context_lines", "deduplicate", "prioritize_by_severity", "budget"]
 
 
 @dataclass(frozen=True)
@@ -55,12 +56,9 @@ def keyword_filter(lines: DataFrame, cfg: KeywordFilterConfig) -> Filtered:
         selection.max_lines(cfg.line_chars),
         matches_first=cfg.prioritize_matches,
     )
-    outcome = selection.budget_outcome(
-        selection.count_lines(kept), included, matches_first=cfg.prioritize_matches
-    )
-    found = report.report_text(outcome, included, by_position=cfg.prioritize_matches)
-    reports = _with_fixed_answer(lines.select("file").distinct(), found, keys)
-    return Filtered(keys, kept, included, outcome, reports)
+    asked = lines.select("file").distinct()
+    outcome = selection.outcome(kept, included, asked, matches_first=cfg.prioritize_matches)
+    return Filtered(keys, kept, included, outcome.where("total > 0"), report.report_text(outcome))
 
 
 def keyword_filter_batch(requests: DataFrame, lines: DataFrame) -> Filtered:
@@ -77,7 +75,8 @@ def keyword_filter_batch(requests: DataFrame, lines: DataFrame) -> Filtered:
         low.alias("low"),
         high.alias("high"),
         "pattern",
-        F.col("context_lines").cast("long").alias("context_lines"),
+        *SETTINGS[:-1],
+        budget.alias("budget"),
     )
     pairs = join_small(
         lines, specs, ["file"], F.octet_length("pattern") + F.octet_length("file") + 128, spread=F.col("pos")
@@ -88,23 +87,16 @@ def keyword_filter_batch(requests: DataFrame, lines: DataFrame) -> Filtered:
         start=F.col("low"),
         end=F.col("high"),
         hit=matches(F.col("line"), F.col("pattern")),
-        carry=["file", "context_lines"],
+        carry=["file", *SETTINGS],
     )
     near = with_context(numbered, F.col("context_lines"), keys=REQUEST)
-    selected = fetch_text(
-        near.select("request_id", "file", "block", "pos", "line_index", "is_match"), lines
-    )
-    settings = requests.select(
-        "request_id", "deduplicate", "prioritize_by_severity", budget.alias("budget")
-    )
-    ranked = selection.prioritize(selected.join(settings, REQUEST), F.col("prioritize_by_severity"))
+    selected = fetch_text(near.drop("hit_rank", "prev_hit", "next_hit"), lines)
+    ranked = selection.prioritize(selected, F.col("prioritize_by_severity"))
     kept = _deduplicate_where_asked(ranked)
     widest = requests.agg(F.max(budget)).first()[0] or 0
     included = selection.fit_budget(kept, F.col("budget"), selection.max_lines(widest), keys=REQUEST)
-    outcome = selection.budget_outcome(selection.count_lines(kept, REQUEST), included, REQUEST)
-    found = report.report_text(outcome, included, REQUEST)
-    reports = _with_fixed_answer(requests.select("request_id"), found, REQUEST)
-    return Filtered(REQUEST, kept, included, outcome, reports)
+    outcome = selection.outcome(kept, included, requests.select("request_id"), REQUEST)
+    return Filtered(REQUEST, kept, included, outcome.where("total > 0"), report.report_text(outcome, REQUEST))
 
 
 def _deduplicate_where_asked(ranked: DataFrame) -> DataFrame:
@@ -112,7 +104,3 @@ def _deduplicate_where_asked(ranked: DataFrame) -> DataFrame:
     own = F.when(~F.col("deduplicate"), F.col("line_index"))
     return selection.deduplicate(ranked.withColumn("_own", own), [*REQUEST, "_own"]).drop("_own")
 
-
-def _with_fixed_answer(asked: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
-    text = F.coalesce("report", F.lit(NO_MATCH_TEXT))
-    return asked.join(found, keys, "left").select(*keys, text.alias("report"))
