@@ -25,6 +25,15 @@ def any_keyword(keywords: Sequence[str], word_boundary: bool = True) -> Column:
     return (~ascii_line | contains_any(F.upper(line), tuple(k.upper() for k in keywords))) & pattern
 
 
+def keyword_hit() -> Column:
+    """any_keyword where each row carries its own `pattern` and `bare` words."""
+    line = F.col("line")
+    ascii_line = F.length(line) == F.octet_length(line)
+    upper = F.upper(line)
+    bare_hit = F.exists("bare", lambda word: F.contains(upper, word))
+    return (~ascii_line | F.col("bare").isNull() | bare_hit) & matches(line, F.col("pattern"))
+
+
 def keyword_counts(
     hits: DataFrame,
     keywords: Sequence[str],

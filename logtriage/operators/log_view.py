@@ -13,6 +13,7 @@ running pass over the block summaries settle every head at once.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,9 +39,13 @@ def number_lines(
     end: Column | None = None,
     hit: Column | None = None,
     carry: Sequence[str] = (),
+    per_key: DataFrame | None = None,
 ) -> DataFrame:
     """Kept lines as narrow rows: keys, block, pos, `carry` columns, line_index.
 
+    `per_key` holds further columns that are constant for a key. They travel with the block
+    summaries, not with the lines.
+
     With `hit`, also is_match, hit_rank (0-based among the hits) and the line_index of the nearest
     hit before (or at) and after (or at) the line: prev_hit, next_hit.
     """
@@ -56,10 +61,13 @@ def number_lines(
         (no_bound if end is None else end).alias("_to"),
         (F.lit(False) if hit is None else hit).alias("_hit"),
         # Places are never NULL. Said here, both uses of these rows below share one shuffle.
-    ).dropna(subset=[*places, "pos"])
+    ).where(reduce(Column.__and__, [F.col(c).isNotNull() for c in (*places, "pos")]))
     rows = _local_state(rows, places, want_hits=hit is not None)
     blocks = _settle_blocks(rows, keys, places)
-    return _combine(rows, blocks, places, keys, carry, want_hits=hit is not None)
+    if per_key is not None:
+        blocks = blocks.join(per_key, list(keys))
+        carry = [*carry, *[c for c in per_key.columns if c not in keys]]
+    return _combine(rows, blocks, places, carry, want_hits=hit is not None)
 
 
 def _local_state(rows: DataFrame, places: list[str], want_hits: bool) -> DataFrame:
@@ -124,7 +132,7 @@ def _settle_blocks(rows: DataFrame, keys: Sequence[str], places: list[str]) -> D
     )
 
 
-def _combine(rows, blocks, places, keys, carry, want_hits: bool) -> DataFrame:
+def _combine(rows, blocks, places, carry, want_hits: bool) -> DataFrame:
     c = F.col
     kept = rows.join(blocks, places).where(c("_live") & (~c("_head") | c("head_ok")))
     columns = [*places, "pos", *carry, (c("shift") + c("_r")).alias("line_index")]
@@ -159,7 +167,7 @@ def with_context(
         numbered = numbered.join(final, list(keys), "left")
         numbered = (
             numbered.withColumn("is_match", c("is_match") & (c("hit_rank") < max_results))
-            .withColumn("prev_hit", F.least("prev_hit", "_final"))
+            .withColumn("prev_hit", F.when(c("prev_hit").isNotNull(), F.least("prev_hit", "_final")))
             .withColumn(
                 "next_hit",
                 F.when(c("_final").isNull() | (c("next_hit") <= c("_final")), c("next_hit")),

@@ -8,12 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logtriage.config import CHARS_PER_TOKEN, SUMMARY_RESERVE, KeywordFilterConfig, date_bounds
-from logtriage.functions.patterns import matches
 from logtriage.operators import report, selection
-from logtriage.operators.keywords import any_keyword
+from logtriage.operators.keywords import any_keyword, keyword_hit
 from logtriage.operators.log_view import date_literals, fetch_text, number_lines, with_context
 from logtriage.operators.requests import bounds, with_patterns
-from logtriage.session import join_small
+from logtriage.session import join_small, staged
 
 REQUEST = ["request_id"]
 SETTINGS = ["context_lines", "deduplicate", "prioritize_by_severity", "budget"]
@@ -65,32 +64,34 @@ def keyword_filter_batch(requests: DataFrame, lines: DataFrame) -> Filtered:
     """One filter run per request, each over its own log, all in one job.
 
     The request columns follow the schema in logtriage.schemas. Requests are joined to the lines of
-    their log behind a size check; what is shuffled per line is its place, not its text.
+    their log behind a size check; what is shuffled per line is its place, not its text. The selected
+    lines are written once, since totals and budget both read them.
     """
     low, high = bounds(F.col("start_date"), F.col("end_date"))
     budget = (F.col("max_tokens") * CHARS_PER_TOKEN - SUMMARY_RESERVE).cast("long")
-    specs = with_patterns(requests).select(
+    asked = with_patterns(requests).select(
         "request_id",
         F.col("log_file_path").alias("file"),
         low.alias("low"),
         high.alias("high"),
         "pattern",
+        "bare",
         *SETTINGS[:-1],
         budget.alias("budget"),
     )
-    pairs = join_small(
-        lines, specs, ["file"], F.octet_length("pattern") + F.octet_length("file") + 128, spread=F.col("pos")
-    )
+    specs = asked.drop(*SETTINGS)
+    size = F.octet_length("pattern") + F.octet_length("file") + 128
+    pairs = join_small(lines, specs, ["file"], size, spread=F.col("pos"))
     numbered = number_lines(
         pairs,
         keys=REQUEST,
         start=F.col("low"),
         end=F.col("high"),
-        hit=matches(F.col("line"), F.col("pattern")),
-        carry=["file", *SETTINGS],
+        hit=keyword_hit(),
+        per_key=asked.select("request_id", "file", *SETTINGS),
     )
     near = with_context(numbered, F.col("context_lines"), keys=REQUEST)
-    selected = fetch_text(near.drop("hit_rank", "prev_hit", "next_hit"), lines)
+    selected = staged(fetch_text(near.drop("hit_rank", "prev_hit", "next_hit"), lines), "selected")
     ranked = selection.prioritize(selected, F.col("prioritize_by_severity"))
     kept = _deduplicate_where_asked(ranked)
     widest = requests.agg(F.max(budget)).first()[0] or 0
