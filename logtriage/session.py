@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 # A side is broadcast only after its bytes were measured below this.
 BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 64
+# Only for sessions that name no shared folder.
+_OWN_FOLDERS: dict[str, str] = {}
 
 
 def local_session(cores: str = "*", app: str = "logtriage") -> SparkSession:
@@ -35,8 +37,10 @@ def shared_folder(spark: SparkSession) -> str:
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="logtriage-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        application = spark.sparkContext.applicationId
+        if application not in _OWN_FOLDERS:
+            _OWN_FOLDERS[application] = tempfile.mkdtemp(prefix="logtriage-")
+        folder = _OWN_FOLDERS[application]
     return folder.rstrip("/")
 
 

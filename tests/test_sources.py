@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logtriage.operators.catalog import context_items
+from logtriage.session import join_small, shared_folder
 from logtriage.sources.catalog import scan_catalog
 from logtriage.sources.documents import load_documents
 from logtriage.sources.index_store import ensure_index, read_index
@@ -34,6 +35,31 @@ def test_log_scan_keeps_order_over_splits(spark, tmp_path):
     assert dated.where("eff_date = '2025-10-12'").count() == 401
 
 
+def test_shared_folder(spark):
+    class Unset:
+        sparkContext = spark.sparkContext
+
+        class conf:
+            @staticmethod
+            def get(name, default):
+                return default
+
+    assert shared_folder(Unset()) == shared_folder(Unset())
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    assert not named or shared_folder(spark) == named.rstrip("/")
+
+
+def test_salted_join_gives_the_same_rows(spark):
+    big = spark.range(500).select((F.col("id") % 3).alias("k"), F.col("id").alias("n"))
+    small = spark.createDataFrame([(0, "a"), (0, "b"), (2, "c")], "k bigint, v string")
+    size = F.octet_length("v") + 8
+    rows = [
+        sorted(tuple(r) for r in join_small(big, small, ["k"], size, F.col("n"), limit).select("k", "n", "v").collect())
+        for limit in (1 << 20, 0)
+    ]
+    assert rows[0] == rows[1] and len(rows[0]) == 500
+
+
 def test_invalid_bytes_and_missing_files(spark, tmp_path):
     (tmp_path / "bad.log").write_bytes(b"ok \xff\xfe line\nsecond \xef\xbf\xbd\n")
     got = [r.line for r in scan_logs(spark, str(tmp_path / "bad.log")).orderBy("pos").collect()]
