@@ -37,7 +37,16 @@ def keyword_regex(keyword: str, word_boundary: bool = True) -> str:
 
 
 def any_keyword_regex(keywords, word_boundary: bool = True) -> str:
-    return FLAGS + "|".join(keyword_regex(k, word_boundary) for k in keywords)
+    """Alternation of keywords; those with the same kind of edges share one boundary test."""
+    if not word_boundary or not all(keywords):
+        return FLAGS + "|".join(keyword_regex(k, word_boundary) for k in keywords)
+    groups: dict[tuple[bool, bool], list[str]] = {}
+    for keyword in keywords:
+        groups.setdefault((_is_word(keyword[0]), _is_word(keyword[-1])), []).append(_escape(keyword))
+    return FLAGS + "|".join(
+        f"{NOT_AFTER_WORD if left else AFTER_WORD}(?:{'|'.join(words)}){NOT_BEFORE_WORD if right else BEFORE_WORD}"
+        for (left, right), words in groups.items()
+    )
 
 
 def keyword_regex_column(keyword: Column) -> Column:

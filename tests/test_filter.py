@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logtriage.config import KeywordFilterConfig, VectorFilterConfig, date_bounds, split_keywords
-from logtriage.functions.patterns import any_keyword_regex, any_keyword_regex_column
+from logtriage.functions.patterns import FLAGS, any_keyword_regex_column, keyword_regex
 from logtriage.functions.text import core_message, duration_text, lines_of, strip
 from logtriage.operators import selection
 from logtriage.operators.keywords import any_keyword, keyword_counts
@@ -190,7 +190,13 @@ def test_keyword_edges(spark, log):
     assert hit("preerror", "error", word_boundary=False) and not hit("preerror", "error")
     words = ["a.b", "[err", "öl", "x+", "_a", "", "a b", "t\\E"]
     built = spark.createDataFrame([(words,)], "k array<string>").select(any_keyword_regex_column(F.col("k"))).first()[0]
-    assert built == any_keyword_regex(words)
+    assert built == FLAGS + "|".join(keyword_regex(k) for k in words)
+    lines = ["a.b", "xa.b", "x[err", "[err", "Öl", "x+y", "x+", "_a", "t\\E.", "a b c", "--", "..t\\E"]
+    df = log(lines)
+    for chosen in (words, [w for w in words if w], ["a.b", "öl", "x+"]):
+        together = {r.line for r in df.where(any_keyword(chosen)).collect()}
+        apart = {r.line for k in chosen for r in df.where(F.rlike("line", F.lit(FLAGS + keyword_regex(k)))).collect()}
+        assert together == apart
 
 
 def test_settings_are_checked():
