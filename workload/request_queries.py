@@ -25,6 +25,7 @@ from workload.tables import (
     requests,
     user_lines,
 )
+from workload.vector_queries import VIEWS_SQL
 
 # --- requests -------------------------------------------------------------------------------------
 
@@ -154,8 +155,10 @@ def keyword_stats_requests(spark, sf_dir):
     return keyword_counts_by_column(kept.join(terms, "request_id"), ["request_id"])
 
 
-@query(f"""WITH {REPORTS_SQL} SELECT 'llm' AS filter_mode, count(*) AS n_requests, count(*) FILTER (report LIKE '===%') AS n_found FROM answered
-UNION ALL SELECT 'vector', count(*), count(*) FILTER (max_tokens >= 200) FROM req WHERE filter_mode = 'vector'""")
+@query(f"""SELECT * FROM (WITH {REPORTS_SQL} SELECT 'llm' AS filter_mode, count(*) AS n_requests,
+    count(*) FILTER (report LIKE '===%') AS n_found FROM answered)
+UNION ALL SELECT * FROM (WITH {VIEWS_SQL} SELECT 'vector' AS filter_mode, count(*) AS n_requests, count(*) FILTER (n_hits > 0) AS n_found
+  FROM (SELECT request_id, count(rank) AS n_hits FROM vreq LEFT JOIN vhits USING (request_id) GROUP BY ALL))""")
 def mode_dispatch(spark, sf_dir):
     asked = requests(spark, sf_dir)
     logs = analysis.filter_logs(asked, user_lines(spark, sf_dir))
