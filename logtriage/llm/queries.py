@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtriage.llm import decontaminate, packing, simhash, token_store, toxicity
+from logtriage.llm import decontaminate, packing, quality, simhash, token_store, toxicity
 from logtriage.llm.common import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = toxicity.scored(docs.select("doc_id", "text"), toxicity.learn(docs, table(spark, sf_dir, "labels")))
     predicted = F.when(F.col("score") >= toxicity.THRESHOLD, 1).otherwise(0)
     return rows.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", predicted.cast("int").alias("predicted"))
+
+
+@query()
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = quality.quality_rules(docs, table(spark, sf_dir, "labels"))
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+    return found.select("doc_id", *(F.col("_quality")[name].alias(name) for name in names))
