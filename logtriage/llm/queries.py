@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtriage.llm import chat, decontaminate, html_text, packing, quality, simhash, token_store, toxicity
+from logtriage.llm import chat, decontaminate, html_text, licenses, packing, quality, simhash, token_store, toxicity
 from logtriage.llm.common import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,33 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
+def _canonical_sql(text: str) -> str:
+    lowered = f"translate(regexp_replace(coalesce({text}, ''), '{licenses.COPYRIGHT_LINE}', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    form = f"(' ' || regexp_replace({lowered}, '{licenses.SEPARATORS}', ' ', 'g') || ' ')"
+    for other, usual in licenses.SPELLINGS:
+        form = f"replace({form}, ' {other} ', ' {usual} ')"
+    return f"trim(regexp_replace({form}, ' +', ' ', 'g'))"
+
+
+_KNOWN_SQL = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in licenses.KNOWN)
+
+OP1_SQL = f"""
+WITH known AS (
+  SELECT sha256(form) AS digest, min(license_id) AS license_id FROM (
+    SELECT license_id, {_canonical_sql('text')} AS form FROM (VALUES {_KNOWN_SQL}) AS k(license_id, text)) GROUP BY 1),
+d AS (SELECT doc_id, text, {_canonical_sql('text')} AS form FROM documents),
+notices AS (
+  SELECT doc_id, list_sort(list(DISTINCT license_id)) AS notices FROM (
+    SELECT doc_id, sha256({_canonical_sql('line')}) AS digest FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)) JOIN known USING (digest)
+  GROUP BY doc_id)
+SELECT d.doc_id, sha256(form) AS digest, length(form) AS canonical_chars, license_id, array_to_string(coalesce(notices, []), ',') AS notices
+FROM d LEFT JOIN known ON sha256(form) = known.digest LEFT JOIN notices ON d.doc_id = notices.doc_id
+"""
+
+
+@query(OP1_SQL)
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), licenses.known_licenses(spark))
+    return found.withColumn("notices", F.array_join("notices", ","))
