@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtriage.llm import chat, decontaminate, html_text, licenses, packing, quality, simhash, token_store, toxicity
+from logtriage.llm import chat, decontaminate, html_text, licenses, lm_scoring, packing, quality, simhash, token_store, toxicity
 from logtriage.llm.common import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,3 +152,8 @@ FROM d LEFT JOIN known ON sha256(form) = known.digest LEFT JOIN notices ON d.doc
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), licenses.known_licenses(spark))
     return found.withColumn("notices", F.array_join("notices", ","))
+
+
+@query()
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
