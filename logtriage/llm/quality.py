@@ -61,6 +61,28 @@ def log_ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
     return [math.log((counts.get(b, (0, 0))[0] + 1) / (counts.get(b, (0, 0))[1] + 1)) + share for b in range(BUCKETS)]
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with the value computed once: an optimizer may copy a column into the function that reads it element by element, but not this."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _repeated(words: Column) -> Column:
+    """Words inside windows that are found twice or more; only texts with such windows are sorted by window hash."""
+
+    def marked(ordered: Column, hashes: Column) -> Column:
+        again = F.filter(ordered, lambda x, i: (x["h"] == F.get(hashes, i - 1)) | (x["h"] == F.get(hashes, i + 1)))
+        return _covered(F.sort_array(F.transform(again, lambda x: x["i"])))
+
+    def counted(grams: Column) -> Column:
+        placed = F.sort_array(F.transform(grams, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        found = _let(placed, lambda ordered: _let(F.transform(ordered, lambda x: x["h"]), lambda hashes: marked(ordered, hashes)))
+        return F.when(F.size(F.array_distinct(grams)) < F.size(grams), found).otherwise(F.lit(0).cast("long"))
+
+    last = F.size(words) - REPEAT_WINDOW + 1
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, REPEAT_WINDOW)))
+    return F.when(last < 1, F.lit(0).cast("long")).otherwise(_let(grams, counted))
+
+
 def _covered(positions: Column) -> Column:
     """Words inside windows that begin at these ascending positions."""
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("int").alias("reach"))
@@ -77,33 +99,25 @@ def judged(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD) -
     text = F.coalesce(F.col("text"), F.lit(""))
     table = F.split(F.lit(",".join(f"{r:.6f}" for r in ratios)), ",").cast("array<double>")
     lines = F.filter(F.split(text, "\n"), lambda line: F.length(F.translate(line, _SPACES, "")) > 0)
-    wide = docs.withColumns({"_words": words_of(text), "_shapes": words_of(shape_text(text)), "_lines": lines})
-    n = F.size("_words")
-    window = F.transform(F.sequence(F.lit(1), n - REPEAT_WINDOW + 1), lambda i: F.xxhash64(F.slice(F.col("_words"), i, REPEAT_WINDOW)))
-    empty = F.array().cast("array<bigint>")
-    wide = wide.withColumns(
-        {
-            "_n": n.cast("long"),
-            "_chars": F.length(F.translate(text, _SPACES, "")).cast("long"),
-            "_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-            "_dup": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "_grams": F.when(n >= REPEAT_WINDOW, window).otherwise(empty),
-            "_score": F.aggregate(features(F.col("_words"), F.col("_shapes")), F.lit(0.0), lambda acc, b: acc + F.get(table, b)) / F.greatest(F.size("_words") + F.size("_shapes"), F.lit(1)),
-        }
-    ).drop("_words", "_shapes", "_lines")
-    repeats = F.size(F.array_distinct("_grams")) < F.size("_grams")
-    # only texts with a repeated window are sorted by window hash
-    placed = F.transform(F.col("_grams"), lambda h, i: F.struct(h.alias("h"), i.alias("i")))
-    wide = wide.withColumn("_sorted", F.when(repeats, F.sort_array(placed))).drop("_grams")
-    wide = wide.withColumn("_hashes", F.col("_sorted.h"))
-    again = F.filter("_sorted", lambda x, i: (x["h"] == F.get(F.col("_hashes"), i - 1)) | (x["h"] == F.get(F.col("_hashes"), i + 1)))
-    wide = wide.withColumn("_repeat", F.coalesce(_covered(F.sort_array(F.transform(again, lambda x: x["i"]))), F.lit(0).cast("long"))).drop("_sorted", "_hashes")
-    failed = (F.col("_n") < MIN_WORDS) | (F.col("_repeat") * 100 > F.col("_n") * MAX_REPEAT_PERCENT)
-    found = F.struct(
-        F.col("_n").alias("n_words"), F.col("_chars").alias("word_chars"), F.col("_symbols").alias("n_symbols"), F.col("_dup").alias("n_dup_lines"), F.col("_repeat").alias("n_repeat_words"),
-        F.col("_score").alias("score"), failed.alias("base_failed"), (~failed & (F.col("_score") >= threshold)).alias("kept"),
-    )
-    return wide.withColumn("_quality", found).drop("_n", "_chars", "_symbols", "_dup", "_score", "_repeat")
+
+    def counted(words: Column, shapes: Column, lines: Column) -> Column:
+        total = F.aggregate(features(words, shapes), F.lit(0.0), lambda acc, b: acc + F.get(table, b))
+        return F.struct(
+            F.size(words).cast("long").alias("n_words"),
+            F.length(F.translate(text, _SPACES, "")).cast("long").alias("word_chars"),
+            (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+            _repeated(words).alias("n_repeat_words"),
+            (total / F.greatest(F.size(words) + F.size(shapes), F.lit(1))).alias("score"),
+        )
+
+    def verdict(c: Column) -> Column:
+        failed = (c["n_words"] < MIN_WORDS) | (c["n_repeat_words"] * 100 > c["n_words"] * MAX_REPEAT_PERCENT)
+        names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score")
+        return F.struct(*(c[name].alias(name) for name in names), failed.alias("base_failed"), (~failed & (c["score"] >= threshold)).alias("kept"))
+
+    found = _let(words_of(text), lambda w: _let(words_of(shape_text(text)), lambda s: _let(lines, lambda t: _let(counted(w, s, t), verdict))))
+    return docs.withColumn("_quality", found)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
