@@ -25,7 +25,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from logtriage.llm.common import scratch
 
 WINDOW = 13
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 400_000
 QUERY_BYTES = 32 * 1024 * 1024
 # All bytes but ASCII letters, digits and those of other characters separate words.
 _SEPARATORS = bytes(b for b in range(128) if not chr(b).isalnum())
