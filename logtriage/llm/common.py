@@ -40,3 +40,16 @@ def crc_of_id(doc_id: Column) -> Column:
 
 def with_fields(schema: T.StructType, fields: str) -> T.StructType:
     return T.StructType(schema.fields + T.StructType.fromDDL(fields).fields)
+
+
+def bounded_sample(ids: DataFrame, most: int) -> DataFrame:
+    """Distinct non-null ids of a one-column table, about `most` at most: those whose hash falls below a fitting mark.
+
+    Nothing is sorted, and the same ids are chosen whatever the partitions.
+    """
+    name = ids.columns[0]
+    distinct = ids.where(F.col(name).isNotNull()).distinct()
+    n = distinct.count()
+    if n <= most:
+        return distinct
+    return distinct.where(F.pmod(F.xxhash64(name), F.lit(1 << 31)) < int((1 << 31) * most / n))

@@ -14,6 +14,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logtriage.llm.common import bounded_sample
+
 BUCKETS = 1 << 14
 # Mean log ratio (natural logarithm) that a text must reach.
 THRESHOLD = -0.1
@@ -43,9 +45,9 @@ def features(words: Column, shapes: Column) -> Column:
 
 
 def trusted_ids(labels: DataFrame, most: int = MAX_TRUSTED) -> DataFrame:
-    """Ids that all their labels call good, at most so many (those with the smallest hashes)."""
+    """Ids that all their labels call good, at most about so many."""
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("_trusted")).agg(F.min("quality").alias("_q"))
-    return known.where("_q = 1").select("_trusted").orderBy(F.xxhash64("_trusted"), "_trusted").limit(most)
+    return bounded_sample(known.where("_q = 1").select("_trusted"), most)
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:

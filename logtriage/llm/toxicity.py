@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logtriage.llm.common import crc_of_id
+from logtriage.llm.common import bounded_sample, crc_of_id, stage
 
 DIMENSIONS = 1 << 17
 # Bounds of the training sample; scoring and the class prior use all rows.
@@ -78,18 +78,20 @@ def _rows(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(found)), sizes), np.concatenate([*found, np.zeros(0, np.int64)]).astype(np.int64)
 
 
+def useful_slots(in_p: np.ndarray, in_u: np.ndarray, n_p: int, n_u: int) -> np.ndarray:
+    """Slots whose shares in positives and unlabelled texts differ by more than chance; from counts of texts by slot."""
+    n_p, n_u = max(1, n_p), max(1, n_u)
+    share = (in_p + in_u + 1) / (n_p + n_u + 2)
+    z = (in_p / n_p - in_u / n_u) / np.sqrt(share * (1 - share) * (1 / n_p + 1 / n_u))
+    return np.abs(z) >= LEAST_Z
+
+
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, members: int = 3, epochs: int = 30, rate: float = 0.02, decay: float = 2e-5, beta: float = 0.0) -> Model:
-    """Fit `members` classifiers with the logistic loss and Adam on minibatches.
+    """Fit `members` classifiers with the logistic loss and Adam on minibatches of useful slots.
 
-    Features that tell positives and unlabelled texts apart by chance only keep weight zero. Without positives
-    all scores are the prior.
+    Without positives all scores are the prior.
     """
     weights, biases = [], []
-    n_p, n_u = max(1, len(positive)), max(1, len(unlabelled))
-    in_p, in_u = (np.bincount(_rows(x)[1], minlength=DIMENSIONS) for x in (positive, unlabelled))
-    share = (in_p + in_u + 1) / (n_p + n_u + 2)
-    z = (in_p / n_p - in_u / n_u) / np.sqrt(share * (1 - share) * (1 / n_p + 1 / n_u))
-    useful = np.abs(z) >= LEAST_Z
     for member in range(members):
         rng = np.random.default_rng(member)
         w, b = np.zeros(DIMENSIONS), np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
@@ -112,7 +114,7 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
                 else:
                     gp, gu = -gp, -gu
                 g = np.bincount(pf, gp[pr], DIMENSIONS) + np.bincount(uf, gu[ur], DIMENSIONS)
-                g = np.where(useful, g, 0) + decay * w
+                g = g + decay * w
                 gb = gp.sum() + gu.sum()
                 step += 1
                 m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -129,21 +131,43 @@ def held_out(doc_id: Column) -> Column:
     return (crc_of_id(doc_id) % 4) == 2
 
 
-def _chosen(ids: DataFrame, most: int) -> DataFrame:
-    """At most so many distinct ids, those with the smallest hashes."""
-    return ids.where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-
+def _feature_rows(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """(slots) of one text for each of these ids, staged."""
 
-def _feature_rows(docs: DataFrame, ids: DataFrame) -> list[np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.array(sorted(features(t)), "<i4").tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], names=["doc_id", "slots"])
 
-    # at most MAX_... ids of 8 bytes each, so the broadcast is bounded
+    # about MAX_... ids of 8 bytes each, so the broadcast is bounded
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id", "left_semi")
-    rows = rows.mapInArrow(run, "doc_id bigint, slots binary").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    return [np.frombuffer(row["slots"], "<i4").astype(np.int64) for row in rows]
+    rows = rows.mapInArrow(run, "doc_id bigint, slots binary")
+    return stage(rows.groupBy("doc_id").agg(F.min("slots").alias("slots")), name)
+
+
+def _slot_counts(rows: DataFrame) -> np.ndarray:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(DIMENSIONS, np.int64)
+        for batch in batches:
+            for slots in batch.column("slots").to_pylist():
+                total[np.frombuffer(slots, "<i4")] += 1
+        spots = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(spots), pa.array(total[spots])], names=["slot", "n"])
+
+    out = np.zeros(DIMENSIONS, np.int64)
+    for row in rows.mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():
+        out[row["slot"]] = row["n"]
+    return out
+
+
+def _useful_rows(rows: DataFrame, useful: np.ndarray) -> list[np.ndarray]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.frombuffer(slots, "<i4") for slots in batch.column("slots").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x[useful[x]].tobytes() for x in found], pa.binary())], names=["doc_id", "slots"])
+
+    held = rows.mapInArrow(run, "doc_id bigint, slots binary").orderBy("doc_id").collect()
+    return [np.frombuffer(row["slots"], "<i4").astype(np.int64) for row in held]
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_positives: int = MAX_POSITIVES, max_unlabelled: int = MAX_UNLABELLED) -> Model:
@@ -157,8 +181,11 @@ def learn(docs: DataFrame, labels: DataFrame, max_positives: int = MAX_POSITIVES
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     prior = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
     corpus = docs.where(~held_out(F.col("doc_id")))
-    positive = _feature_rows(corpus, _chosen(known.where("toxic = 1").select("doc_id"), max_positives))
-    unlabelled = _feature_rows(corpus, _chosen(corpus.select(F.col("doc_id").cast("long").alias("doc_id")), max_unlabelled))
+    positive = _feature_rows(corpus, bounded_sample(known.where("toxic = 1").select("doc_id"), max_positives), "toxic-texts")
+    ids = bounded_sample(corpus.select(F.col("doc_id").cast("long").alias("doc_id")), max_unlabelled)
+    unlabelled = _feature_rows(corpus, ids, "corpus-texts")
+    useful = useful_slots(_slot_counts(positive), _slot_counts(unlabelled), positive.count(), unlabelled.count())
+    positive, unlabelled = _useful_rows(positive, useful), _useful_rows(unlabelled, useful)
     return train(positive, unlabelled, min(max(prior or 0.005, 1e-4), 0.9))
 
 
