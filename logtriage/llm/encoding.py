@@ -27,7 +27,7 @@ class WordEncoder:
     not come apart as expected is encoded word by word. `limit` bounds the words kept.
     """
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -102,7 +102,7 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def groups_of(texts: list, size: int = 4_000_000):
+def groups_of(texts: list, size: int = 2_000_000):
     """Slices of a list of texts that hold about so many characters, at least one text each."""
     begin = held = 0
     for n, text in enumerate(texts):

@@ -42,7 +42,7 @@ class _Slots(dict):
     """Slots of a word: of the word itself, and of its beginnings, which inflected words share."""
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 300_000:
+        if len(self) > 60_000:
             self.clear()
         parts = [word, *(word[:n] + "-" for n in BEGINNINGS if len(word) >= n)]
         slots = self[word] = tuple(_slot(part) for part in parts)
