@@ -9,6 +9,7 @@ the class prior assigns to positives; where that difference falls below zero, th
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,11 +32,8 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def _slot(word: str) -> int:
-    """FNV hash of a word's bytes, the same in every process."""
-    h = 2166136261
-    for byte in word.encode("utf-8", "surrogatepass"):
-        h = (h ^ byte) * 16777619 & 0xFFFFFFFF
-    return (h ^ h >> 15) % DIMENSIONS
+    """The same in every process."""
+    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % DIMENSIONS
 
 
 class _Slots(dict):
