@@ -168,7 +168,7 @@ def variant_count(radius: int = 4) -> int:
 
 
 def groups(docs: DataFrame, words: int = 4, seed: int = 42, radius: int = 4, text_key: Column | None = None) -> DataFrame:
-    """(doc_id, fingerprint as signed 64 bits, component_id) for every row.
+    """(doc_id, fingerprint as signed 64 bits, component_id, root) for every row; root is the smallest fingerprint of the component.
 
     component_id is the smallest doc_id reachable over links of at most `radius` bits, the own one
     included; null only if no row of the component has a doc_id. Texts without words (null, empty) share the
@@ -183,10 +183,10 @@ def groups(docs: DataFrame, words: int = 4, seed: int = 42, radius: int = 4, tex
     roots = stage(components(near_links(distinct.select("print"), radius)), "print-roots")
     linked = distinct.join(roots, F.col("print") == F.col("node")).select("print", "root", "least")
     smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = linked.join(smallest, "root").select("print", "component_id")
+    linked = linked.join(smallest, "root").select("print", "root", "component_id")
     # a lone fingerprint is its own component
-    alone = distinct.join(roots.select(F.col("node").alias("print")), "print", "left_anti").select("print", F.col("least").alias("component_id"))
-    return rows.join(linked.union(alone), "print").select("doc_id", F.col("print").alias("fingerprint"), "component_id", *rows.columns[2:])
+    alone = distinct.join(roots.select(F.col("node").alias("print")), "print", "left_anti").select("print", F.col("print").alias("root"), F.col("least").alias("component_id"))
+    return rows.join(linked.union(alone), "print").select("doc_id", F.col("print").alias("fingerprint"), "component_id", "root", *rows.columns[2:])
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
@@ -199,7 +199,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     rows = groups(docs, text_key=key, **options)
     # in a component, the rows with its id; of these the smallest text hash
     mine = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    chosen = mine.groupBy("component_id", "doc_id", F.coalesce("component_id", "fingerprint").alias("_c")).agg(F.min(F.struct("fingerprint", "text_key")).alias("_m"))
+    chosen = mine.groupBy("root", "doc_id").agg(F.min(F.struct("fingerprint", "text_key")).alias("_m"))
     chosen = chosen.select(F.col("doc_id").alias("_doc"), F.col("_m.text_key").alias("_key")).distinct()
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     chosen = chosen.select(F.coalesce(F.col("_doc").cast("string"), F.lit("")).alias("_name"), "_key").distinct()

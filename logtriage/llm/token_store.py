@@ -224,9 +224,10 @@ def look_up(keys: DataFrame, path: str) -> DataFrame:
     Keys are sent to the shards whose bounds hold them; there the index gives the place at once.
     """
     spark = keys.sparkSession
-    bounds = [b for b in shard_bounds(spark, path) if b[2] is not None]
+    every = shard_bounds(spark, path)
+    bounds = [b for b in every if b[2] is not None]
     first, last = np.array([b[2] for b in bounds], np.int64), np.array([b[3] for b in bounds], np.int64)
-    before = {b[:2]: b[4] for b in bounds}
+    before = {b[:2]: b[4] for b in every}
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
