@@ -58,7 +58,9 @@ def keyword_regex_column(keyword: Column) -> Column:
 
 
 def any_keyword_regex_column(keywords: Column) -> Column:
-    return F.concat(F.lit(FLAGS), F.array_join(F.transform(keywords, keyword_regex_column), "|"))
+    """Any of the keywords; without keywords nothing matches."""
+    either = F.concat(F.lit(FLAGS), F.array_join(F.transform(keywords, keyword_regex_column), "|"))
+    return F.when(F.size(keywords) == 0, F.lit("(?!)")).otherwise(either)
 
 
 def matches(line: Column, pattern: Column) -> Column:

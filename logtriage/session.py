@@ -33,10 +33,12 @@ def local_session(cores: str = "*", app: str = "logtriage") -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach: the session's spark.checkpoint.dir.
 
-    Where the session names none (tests on one machine), a fresh folder is used.
+    Where a session on one machine names none, a fresh folder is used; on a cluster that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         application = spark.sparkContext.applicationId
         if application not in _OWN_FOLDERS:
             _OWN_FOLDERS[application] = tempfile.mkdtemp(prefix="logtriage-")

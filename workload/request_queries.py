@@ -101,7 +101,7 @@ def fmt_duration(spark, sf_dir):
 
 STOP_SQL = ", ".join(f"'{w}'" for w in request_ops.STOP_WORDS)
 EXTRACT_SQL = f"""words AS (SELECT request_id, unnest(list_filter(regexp_extract_all(lower(issue_description), '[\\p{{L}}\\p{{N}}_]+'),
-      lambda w: length(w) >= 3 AND NOT list_contains([{STOP_SQL}], w))) AS keyword FROM req),
+      lambda w: NOT list_contains([{STOP_SQL}], w))) AS keyword FROM req),
   tf AS (SELECT request_id, keyword, count(*) AS tf FROM words GROUP BY ALL),
   df AS (SELECT keyword, count(*) AS df FROM tf GROUP BY ALL),
   ext AS (SELECT * FROM (SELECT request_id, keyword, score, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, keyword) AS rank
