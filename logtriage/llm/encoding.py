@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
+from functools import lru_cache
 
 import numpy as np
 import regex
@@ -112,3 +113,56 @@ def groups_of(texts: list, size: int = 2_000_000):
             begin, held = n + 1, 0
     if begin < len(texts):
         yield slice(begin, len(texts))
+
+
+def _bytes_of_letters() -> dict[str, int]:
+    """Byte-level vocabularies write each byte as one letter: itself where it is printable, else the next one from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {**{chr(b): b for b in printable}, **{chr(256 + n): b for n, b in enumerate(others)}}
+
+
+class WordIds:
+    """Ids of single words, each behind one space, by a byte-level vocabulary whose ids follow the order of its merges.
+
+    Meant for many words that occur once: they are encoded together, and cut apart by the lengths of their bytes.
+    """
+
+    LONGEST = 500  # longer words go to the tokenizer itself, whose merging stays fast on them
+
+    def __init__(self, path: str):
+        import tiktoken
+
+        letters = _bytes_of_letters()
+        self.path = path
+        tool = encoder(path)
+        names = {token: number for token, number in tool.tokenizer.get_vocab().items() if all(c in letters for c in token)}
+        ranks = {bytes(letters[c] for c in token): number for token, number in names.items()}
+        self.width = np.zeros(tool.size, np.int64)
+        for token, number in ranks.items():
+            self.width[number] = len(token)
+        self.encoding = tiktoken.Encoding("words", pat_str=r" ?[^ ]+| ", mergeable_ranks=ranks, special_tokens={})
+
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words laid end to end, and how many each word has."""
+        texts = [" " + word.decode("utf-8", "replace") for word in words]
+        long = [n for n, text in enumerate(texts) if len(text) > self.LONGEST]
+        if long:
+            return self._with_long(words, texts, long)
+        ids = np.array(self.encoding.encode_ordinary("".join(texts)), np.int64)
+        upto = np.cumsum([len(text) if text.isascii() else len(text.encode()) for text in texts])
+        ends = np.searchsorted(np.cumsum(self.width[ids]), upto) + 1 if len(ids) else np.zeros(0, np.int64)
+        return ids, np.diff(ends, prepend=0)
+
+    def _with_long(self, words: list[bytes], texts: list[str], long: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        chosen = set(long)
+        ids, sizes = self.of([word for n, word in enumerate(words) if n not in chosen])
+        short = iter(np.split(ids, np.cumsum(sizes)[:-1]) if len(sizes) else [])
+        alone = dict(zip(long, encoder(self.path).encode_many([texts[n] for n in long])))
+        parts = [np.frombuffer(alone[n], "<u4").astype(np.int64) if n in chosen else next(short) for n in range(len(words))]
+        return np.concatenate(parts), np.array([len(part) for part in parts], np.int64)
+
+
+@lru_cache(maxsize=2)
+def word_ids(path: str) -> WordIds:
+    return WordIds(path)

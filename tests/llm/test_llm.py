@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from logtriage.llm import attention, chat, decontaminate, html_text, licenses, lm_scoring, packing, quality, simhash, token_store, toxicity
+from logtriage.llm import attention, chat, decontaminate, encoding, html_text, licenses, lm_scoring, packing, quality, simhash, token_store, toxicity
 from logtriage.llm.common import scratch
 
 SCHEMA = "doc_id long, text string, lang string, score string, _n string"
@@ -239,12 +239,42 @@ def test_attention_scores_each_id_once():
     rng = np.random.default_rng(0)
     params, bias = attention.initial(), attention.PairBias(rng.random((attention.IDS, attention.IDS)))
     sequences = [rng.integers(0, attention.IDS, n) for n in (0, 1, 31, 32, 33, 100, 500)]
-    logs, begun = attention.token_logs(params, bias, sequences, 5, 7)
+    logs, begun = attention.token_logs(attention.Scorer(params, bias, 7), sequences, 5)
     assert len(logs) == sum(len(s) + 1 for s in sequences) and (logs < 0).all() and (begun < 0).all()
     owner, begin, first = attention.windows_of(np.array([len(s) + 1 for s in sequences]))
     assert len(owner) == len(begin) == len(first)
 
 
+def test_attention_scores_equal_plain_windows():
+    rng = np.random.default_rng(1)
+    params = {name: (rng.standard_normal(shape) * 0.3).astype(np.float32) for name, shape in attention.shapes().items()}
+    bias, end = attention.PairBias(rng.random((attention.IDS, attention.IDS))), 5
+    sequences = [rng.integers(0, attention.IDS, n) for n in (0, 1, 31, 32, 33, 100)]
+    logs, begun = attention.token_logs(attention.Scorer(params, bias, 7), sequences, end)
+    want, want_begun, step = [], [], attention.WINDOW - attention.OVERLAP
+    for sequence in sequences:
+        target, given = np.append(sequence, end), np.append(end, sequence)
+        for place in range(len(target)):
+            begin = 0 if place < attention.WINDOW else step * (1 + (place - attention.WINDOW) // step)
+            row = np.full(attention.WINDOW, end)
+            part = given[begin : begin + attention.WINDOW]
+            row[: len(part)] = part
+            h = attention.attend(params, row[None])[-1][0, place - begin]
+            cls, member, log_c, log_m, _, _ = attention.predict(params, bias, h[None], given[place : place + 1], target[place : place + 1])
+            want.append(log_c[0, cls[0]] + log_m[0, member[0]])
+            want_begun.append(np.log(np.exp(log_c[0, :7]).sum()))
+    assert np.allclose(logs, want, atol=1e-4) and np.allclose(begun, want_begun, atol=1e-4)
+
+
+def test_word_ids_equal_the_tokenizer():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    words = [b"the", b"unbelievable###", "straße".encode(), b"a" * 2000, b"x1,y2", "日本語".encode(), b"don't", b"\x00", b"\xff\xfe", b"q" * 700]
+    for some in (words, words[:3], words[3:4], []):
+        ids, sizes = encoding.word_ids(path).of(some)
+        plain = [encoding.encoder(path).tokenizer.encode(" " + w.decode("utf-8", "replace"), add_special_tokens=False).ids for w in some]
+        assert sizes.tolist() == [len(x) for x in plain] and ids.tolist() == [k for x in plain for k in x]
+
+
 def test_lm_counts(docs, empty):
     rows = lm_scoring.score_documents(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()
     held = lambda k: zlib.crc32(("" if k is None else str(k)).encode()) % 7 == 2
