@@ -24,9 +24,8 @@ NO_MATCH_TEXT = "No matching log entries found for the given criteria."
 
 @dataclass(frozen=True)
 class AnalysisDefaults:
-    """Default column values of an analysis request."""
+    """Values of options that an analysis request leaves open."""
 
-    filter_mode: str = "llm"
     max_tokens: int = MAX_TOKENS
     context_lines: int = CONTEXT_LINES
     deduplicate: bool = True

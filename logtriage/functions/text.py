@@ -152,3 +152,8 @@ def duration_text(seconds: Column) -> Column:
         .when(rest < 1, head)
         .otherwise(F.concat(head, F.lit(" "), tenths_text(rest), F.lit(" seconds")))
     )
+
+
+def log_key(path: Column) -> Column:
+    """One spelling of a log's name: file:/x, file:///x and /x are the same log."""
+    return F.regexp_replace(path, "^file:/+", "/")

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logtriage.config import CHARS_PER_TOKEN, SUMMARY_RESERVE, KeywordFilterConfig, date_bounds
+from logtriage.functions.text import log_key
 from logtriage.operators import report, selection
 from logtriage.operators.keywords import any_keyword, keyword_hit
 from logtriage.operators.log_view import date_literals, fetch_text, number_lines, with_context
-from logtriage.operators.requests import bounds, with_patterns
+from logtriage.operators.requests import bounds, with_defaults, with_patterns
 from logtriage.session import join_small, staged
 
 REQUEST = ["request_id"]
@@ -67,11 +68,12 @@ def keyword_filter_batch(requests: DataFrame, lines: DataFrame) -> Filtered:
     their log behind a size check; what is shuffled per line is its place, not its text. The selected
     lines are written once, since totals and budget both read them.
     """
+    requests = with_defaults(requests)
     low, high = bounds(F.col("start_date"), F.col("end_date"))
     budget = (F.col("max_tokens") * CHARS_PER_TOKEN - SUMMARY_RESERVE).cast("long")
     asked = with_patterns(requests).select(
         "request_id",
-        F.col("log_file_path").alias("file"),
+        log_key(F.col("log_file_path")).alias("file"),
         low.alias("low"),
         high.alias("high"),
         "pattern",

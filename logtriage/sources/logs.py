@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from logtriage.functions.text import drop_invalid_utf8, line_timestamp
+from logtriage.functions.text import drop_invalid_utf8, line_timestamp, log_key
 from logtriage.operators.log_view import number_lines
 
 
@@ -14,7 +14,8 @@ def scan_logs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(file, block, pos, line): one row per line, placed by file, file split and scan order.
 
     Line ends may be LF, CR or CRLF; invalid UTF-8 bytes are dropped. Split starts and scan order
-    belong to one planning of the scan. To use the lines more than once, store them with
+    belong to one planning of the scan. `file` is the full path as a request would name it: without
+    a file: scheme, and with its characters unescaped. To use the lines more than once, store them with
     `store_lines` (one pass, no shuffle) and read them back.
     """
     try:
@@ -22,8 +23,10 @@ def scan_logs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         text = spark.read.text(paths)
     except AnalysisException as error:
         raise ValueError(f"cannot read log {paths!r}: {error}") from error
+    escaped = F.col("_metadata.file_path")
+    name = F.coalesce(F.try_url_decode(F.replace(escaped, F.lit("+"), F.lit("%2B"))), escaped)
     return text.select(
-        F.col("_metadata.file_path").alias("file"),
+        log_key(name).alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("pos"),
         drop_invalid_utf8(F.col("value")).alias("line"),
