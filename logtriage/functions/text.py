@@ -157,3 +157,8 @@ def duration_text(seconds: Column) -> Column:
 def log_key(path: Column) -> Column:
     """One spelling of a log's name: file:/x, file:///x and /x are the same log."""
     return F.regexp_replace(path, "^file:/+", "/")
+
+
+def named_log(path: str) -> Column:
+    """Lines of the log that a config names."""
+    return F.col("file") == log_key(F.lit(path))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logtriage.config import CHARS_PER_TOKEN, SUMMARY_RESERVE, KeywordFilterConfig, date_bounds
-from logtriage.functions.text import log_key
+from logtriage.functions.text import log_key, named_log
 from logtriage.operators import report, selection
 from logtriage.operators.keywords import any_keyword, keyword_hit
 from logtriage.operators.log_view import date_literals, fetch_text, number_lines, with_context
@@ -31,7 +31,8 @@ class Filtered:
 
 
 def select_lines(lines: DataFrame, cfg: KeywordFilterConfig) -> DataFrame:
-    """(file, block, pos, line_index, is_match, line): hits with context after the date filter."""
+    """(file, block, pos, line_index, is_match, line) of the config's log: hits with context after the date filter."""
+    lines = lines.where(named_log(cfg.log_file_path))
     start, end = date_bounds(cfg.start_date, cfg.end_date)
     low, high = date_literals(start, end) if start or end else (None, None)
     numbered = number_lines(
@@ -48,6 +49,8 @@ def rank_lines(selected: DataFrame, cfg: KeywordFilterConfig) -> DataFrame:
 
 
 def keyword_filter(lines: DataFrame, cfg: KeywordFilterConfig) -> Filtered:
+    """One filter run over the log that the config names; `lines` may hold others, too."""
+    lines = lines.where(named_log(cfg.log_file_path))
     keys = ["file"]
     kept = rank_lines(select_lines(lines, cfg), cfg)
     included = selection.fit_budget(
