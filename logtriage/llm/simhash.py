@@ -180,7 +180,12 @@ def groups(docs: DataFrame, words: int = 4, seed: int = 42, radius: int = 4, tex
         columns.append(text_key.alias("text_key"))
     rows = stage(docs.select(*columns), "fingerprints")
     distinct = stage(rows.groupBy("print").agg(F.min("doc_id").alias("least")), "distinct-prints")
-    roots = stage(components(near_links(distinct.select("print"), radius)), "print-roots")
+    return grouped(rows, distinct, near_links(distinct.select("print"), radius))
+
+
+def grouped(rows: DataFrame, distinct: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows (doc_id, print, ...) with the component of their print over links (a, b); distinct has (print, least) once each."""
+    roots = stage(components(links), "print-roots")
     linked = distinct.join(roots, F.col("print") == F.col("node")).select("print", "root", "least")
     smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = linked.join(smallest, "root").select("print", "root", "component_id")
@@ -196,7 +201,11 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     equal in both. A component without any doc_id keeps one row.
     """
     key = F.xxhash64("text")
-    rows = groups(docs, text_key=key, **options)
+    return keep_rows(docs, groups(docs, text_key=key, **options), key)
+
+
+def keep_rows(docs: DataFrame, rows: DataFrame, key: Column) -> DataFrame:
+    """keep_one for the rows of groups; key is the hash of the text."""
     # in a component, the rows with its id; of these the smallest text hash
     mine = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     chosen = mine.groupBy("root", "doc_id").agg(F.min(F.struct("fingerprint", "text_key")).alias("_m"))

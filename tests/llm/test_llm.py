@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from logtriage.llm import attention, chat, decontaminate, encoding, html_text, licenses, lm_scoring, packing, quality, simhash, token_store, toxicity
+from logtriage.llm import attention, chat, decontaminate, encoding, html_text, licenses, lm_scoring, near_copies, packing, quality, simhash, token_store, toxicity
 from logtriage.llm.common import scratch
 
 SCHEMA = "doc_id long, text string, lang string, score string, _n string"
@@ -172,6 +172,46 @@ def test_links_join_all_pairs_within_four_bits(spark):
         assert [seek(k) for k in range(len(prints))] == [find(k) for k in range(len(prints))]
 
 
+def plain_shingles(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_near_copies_stage_equals_brute_force(spark, docs, empty):
+    rng = np.random.default_rng(3)
+    texts = []
+    for base in range(12):
+        words = [f"w{k}" for k in rng.integers(0, 10**6, 260)]
+        texts.append(" ".join(words))
+        for changed in (1, 2, 3, 4, 5, 6):  # each changed word takes five shingles: similarity 0.96 to 0.79
+            copy = list(words)
+            for at in rng.choice(np.arange(5, 250, 6), changed, replace=False):
+                copy[at] = f"x{rng.integers(0, 10**6)}"
+            texts.append(" ".join(copy))
+    # a large group of edited copies, in buckets of more sets than are compared pair by pair
+    words = [f"h{k}" for k in rng.integers(0, 10**6, 100)]
+    for at in range(40):
+        texts.append(" ".join(words[:at] + [f"y{at}"] + words[at + 1 :]))
+    sets = [plain_shingles(t) for t in texts]
+    root = list(range(len(texts)))
+    planted = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                planted += 1
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = corpus_pipeline.drop_near_copies(spark, rows, "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root)) and planted > 500
+    found = {r["doc_id"]: r["component_id"] for r in near_copies.groups(rows, F.xxhash64("text")).collect()}
+    assert found == dict(enumerate(root))
+    kept = near_copies.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] or 0) for r in kept.select("doc_id").collect()) == [0, 1, 2, 5, 5, 6]
+    assert near_copies.keep_one(empty).count() == 0
+
+
 def test_decontamination_edges(spark, docs, empty):
     items = spark.createDataFrame([("a", prose(60, 1)), ("b", "Idiot, TRASH!"), ("c", None), ("d", "..."), ("b", "Idiot, TRASH!")], "item_id string, text string")
     rows = decontaminate.find_contamination(docs, items).collect()
