@@ -334,6 +334,16 @@ def test_lm_counts(docs, empty):
     assert lm_scoring.score_documents(empty, public_tokenizers.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_lm_score_gives_every_training_word_its_share(spark, docs, monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    usual = lm_scoring.common_words
+    scores = []
+    for most in (100_000, 3, 0):
+        monkeypatch.setattr(lm_scoring, "common_words", lambda counts, most=most: usual(counts, most))
+        scores.append(sorted((r["n_tokens"], r["base_score"], r["score"]) for r in lm_scoring.score_documents(docs, path).collect()))
+    assert np.allclose(scores[0], scores[1]) and np.allclose(scores[0], scores[2])
+
+
 def test_html_cases():
     page = "<body class=has-sidebar><div class=page-header>Site</div><div id=content><h1>T &amp; t</h1><p>One,  two<br>three.<p>More <b>text <ul><li>a<li>b</ul><div class=comments><p>I, too, say, so</div></div><footer>f</footer>"
     assert html_text.extract(page) == "T & t\n\nOne, two three.\n\nMore text\n\na\n\nb"
