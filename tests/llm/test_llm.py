@@ -378,6 +378,42 @@ def test_licenses(spark, docs, empty):
     assert licenses.scan(docs, licenses.known_licenses(spark)).count() == len(ROWS)
 
 
+def test_license_files_wrapped_as_published(spark):
+    isc = """ISC License
+
+Copyright (c) 2004-2010 by Internet Systems Consortium, Inc.
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM
+LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR
+OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+PERFORMANCE OF THIS SOFTWARE.
+"""
+    plain = {name: text for name, text in reversed(licenses.KNOWN) if "\n" in text}  # the untitled ones come first
+
+    def wrapped(name, title, notice, before):
+        """The text with a line break before one of its words."""
+        assert f" {before}" in plain[name]
+        return f"{title}\n\n{notice}\n\n" + plain[name].replace(f" {before}", f"\n{before}")
+
+    files = [
+        (1, isc),
+        (2, wrapped("MIT", "The MIT License (MIT)", "Copyright (c) 2020 A. Person", "COPYRIGHT HOLDERS BE LIABLE")),
+        (3, wrapped("MIT", "MIT License", "Copyright [yyyy] [name]", "copyright notice and")),
+        (4, wrapped("BSD-3-Clause", "BSD 3-Clause License", "Copyright 2020, A. Person\nAll rights reserved.", "copyright notice, this")),
+        (5, wrapped("BSD-2-Clause", "BSD 2-Clause License", "© 2020 A. Person", "COPYRIGHT HOLDER OR")),
+        (6, plain["ISC"] + "\nCopyright of all else is not touched."),
+    ]
+    found = licenses.scan(spark.createDataFrame(files, "doc_id long, text string"), licenses.known_licenses(spark)).collect()
+    assert {r["doc_id"]: r["license_id"] for r in found} == {1: "ISC", 2: "MIT", 3: "MIT", 4: "BSD-3-Clause", 5: "BSD-2-Clause", 6: None}
+
+
 def test_pipeline_stages_work_on_what_is_left(spark):
     sf_dir = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
