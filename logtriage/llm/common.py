@@ -33,6 +33,14 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df does not have yet, in any spelling."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc_of_id(doc_id: Column) -> Column:
     """Unsigned crc32 of an id written as text; null ids count as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from logtriage.llm.common import scratch
+from logtriage.llm.common import free_name, scratch
 
 WINDOW = 13
 SHARD_WORDS = 400_000
@@ -224,5 +224,6 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -
     keyed = docs.select(F.xxhash64(name, key).alias("doc_id"), "text")
     build_index(keyed, path)
     bad = judged(find_passages(docs.sparkSession.read.schema(SHARD).parquet(path), items, window)).where("contaminated")
-    bad = bad.select(F.col("doc_id").alias("_key")).distinct()
-    return docs.withColumn("_key", F.xxhash64(name, key)).join(bad, "_key", "left_anti").select(*docs.columns)
+    column = free_name(docs, "_key")
+    bad = bad.select(F.col("doc_id").alias(column)).distinct()
+    return docs.withColumn(column, F.xxhash64(name, key)).join(bad, column, "left_anti").select(*docs.columns)

@@ -92,8 +92,8 @@ def _covered(positions: Column) -> Column:
     return F.aggregate(positions, start, step, lambda acc: acc["n"])
 
 
-def judged(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD) -> DataFrame:
-    """docs with a struct column `_quality`: the counts, score, base_failed and kept.
+def judged(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD, name: str = "_quality") -> DataFrame:
+    """docs with a struct column `name`: the counts, score, base_failed and kept.
 
     Null texts count as empty: no words, score 0, failed by the base rule. Every row is judged by itself,
     so repeated rows and ids do not matter, and other columns of docs stay as they are.
@@ -119,9 +119,9 @@ def judged(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD) -
         return F.struct(*(c[name].alias(name) for name in names), failed.alias("base_failed"), (~failed & (c["score"] >= threshold)).alias("kept"))
 
     found = _let(words_of(text), lambda w: _let(words_of(shape_text(text)), lambda s: _let(lines, lambda t: _let(counted(w, s, t), verdict))))
-    return docs.withColumn("_quality", found)
+    return docs.withColumn(name, found)
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, name: str = "_quality") -> DataFrame:
     """Count both multinomials over the whole table, then judge every document; see `judged`."""
-    return judged(docs, log_ratios(docs, trusted_ids(labels)), threshold)
+    return judged(docs, log_ratios(docs, trusted_ids(labels)), threshold, name)

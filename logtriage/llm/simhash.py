@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logtriage.llm.common import stage
+from logtriage.llm.common import free_name, stage
 from logtriage.llm.components import components
 
 BITS = 64
@@ -211,7 +211,8 @@ def keep_rows(docs: DataFrame, rows: DataFrame, key: Column) -> DataFrame:
     chosen = mine.groupBy("root", "doc_id").agg(F.min(F.struct("fingerprint", "text_key")).alias("_m"))
     chosen = chosen.select(F.col("doc_id").alias("_doc"), F.col("_m.text_key").alias("_key")).distinct()
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    chosen = chosen.select(F.coalesce(F.col("_doc").cast("string"), F.lit("")).alias("_name"), "_key").distinct()
-    kept = docs.withColumns({"_name": name, "_key": key}).join(chosen, ["_name", "_key"], "left_semi")
-    one = Window.partitionBy("_name", "_key").orderBy("_name")
-    return kept.withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*docs.columns)
+    names = [free_name(docs, n) for n in ("_name", "_key", "_n")]
+    chosen = chosen.select(F.coalesce(F.col("_doc").cast("string"), F.lit("")).alias(names[0]), F.col("_key").alias(names[1])).distinct()
+    kept = docs.withColumns({names[0]: name, names[1]: key}).join(chosen, names[:2], "left_semi")
+    one = Window.partitionBy(*names[:2]).orderBy(names[0])
+    return kept.withColumn(names[2], F.row_number().over(one)).where(F.col(names[2]) == 1).select(*docs.columns)
