@@ -12,25 +12,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtriage.llm import decontaminate, near_copies, packing, quality, toxicity
-from logtriage.llm.common import stage, table
+from logtriage.llm import decontaminate, packing, quality, simhash, toxicity
+from logtriage.llm.common import free_name, stage, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules and the n-gram ratio keep (operator 6); trusted texts are told by labels.quality."""
-    found = quality.quality_rules(docs, table(spark, sf_dir, "labels"))
-    return found.where(F.col("_quality.kept")).select(*docs.columns)
+    name = free_name(docs, "_quality")
+    found = quality.quality_rules(docs, table(spark, sf_dir, "labels"), name=name)
+    return found.where(F.col(name)["kept"]).select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the threshold (operator 8), learned from labels.toxic."""
-    found = toxicity.scored(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")), "_toxicity")
-    return found.where(F.col("_toxicity") < toxicity.THRESHOLD).select(*docs.columns)
+    name = free_name(docs, "_toxicity")
+    found = toxicity.scored(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")), name)
+    return found.where(F.col(name) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of texts whose 5-word shingles are similar to 0.8, the one with the smallest doc_id."""
-    return near_copies.keep_one(docs)
+    """One document of each group of linked SimHash fingerprints (operator 3: 4-word shingles, 4 bits), the one with the smallest doc_id."""
+    return simhash.keep_one(docs, words=4, radius=4)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
