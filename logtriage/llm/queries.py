@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtriage.llm import chat, decontaminate, html_text, licenses, lm_scoring, packing, quality, simhash, token_store, toxicity
+from logtriage.llm import chat, clusters, decontaminate, hard_negatives, html_text, licenses, lm_scoring, minmax, packing, quality, simhash, token_store, toxicity
 from logtriage.llm.common import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,3 +157,90 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def _op11_sql(k: int = 8, rounds: int = 10) -> str:
+    """The rounds written out one after the other."""
+    steps = [
+        """
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c, v AS p FROM kept QUALIFY c < """ + f"{k})"
+    ]
+    nearest = """a{n} AS MATERIALIZED (
+  SELECT row, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+    SELECT row, c, list_sum(list_transform(list_zip(v, p), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM kept, c{n}) GROUP BY row)"""
+    mean = """c{after} AS MATERIALIZED (
+  WITH sums AS (
+    SELECT c, i, sum(x)::BIGINT AS s, count(*) AS n FROM (
+      SELECT c, unnest(range(1, 65)) AS i, unnest(v) AS x FROM a{n} JOIN kept USING (row)) GROUP BY c, i),
+  means AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS p FROM sums GROUP BY c)
+  SELECT c{n}.c, coalesce(means.p, c{n}.p) AS p FROM c{n} LEFT JOIN means ON c{n}.c = means.c)"""
+    for n in range(rounds):
+        steps += [nearest.format(n=n), mean.format(n=n, after=n + 1)]
+    steps.append(nearest.format(n=rounds))
+    end = f"""
+SELECT vec_id, a.c::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY a.c)::BIGINT AS cluster_inertia,
+  sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(p, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN kept USING (row) JOIN c{rounds} f ON a.c = f.c"""
+    return ",\n".join(steps) + end
+
+
+@query(_op11_sql())
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = clusters.cluster_vectors(table(spark, sf_dir, "embeddings"))
+    digest = F.sha2(F.array_join(F.transform("centroid", lambda c: c.cast("string")), ","), 256)
+    return rows.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT row_number() OVER () AS row, doc_id,
+    list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents),
+shingles AS MATERIALIZED (
+  SELECT DISTINCT row, array_to_string(list_slice(w, i, i + 3), ' ') AS s
+  FROM (SELECT row, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+sizes AS MATERIALIZED (SELECT row, count(*) AS n FROM shingles GROUP BY row),
+met AS (
+  SELECT a.row AS a, b.row AS b, count(*) AS shared FROM shingles a JOIN shingles b ON a.s = b.s AND a.row < b.row GROUP BY ALL),
+links AS MATERIALIZED (
+  SELECT a, b FROM met JOIN sizes x ON x.row = a JOIN sizes y ON y.row = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+sides AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (SELECT a AS row, a AS other FROM sides UNION SELECT reached.row, b FROM reached JOIN sides ON reached.other = sides.a),
+least AS (SELECT reached.row, min(doc_id) AS id FROM reached JOIN words ON words.row = reached.other GROUP BY reached.row)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(id, doc_id) AS component_id, doc_id = coalesce(id, doc_id) AS kept
+FROM words LEFT JOIN sizes USING (row) LEFT JOIN least USING (row)
+"""
+
+
+@query(OP12_SQL)
+def op12_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = """
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+scored AS MATERIALIZED (
+  SELECT a.row AS anchor, a.vec_id AS anchor_id, b.row AS other, b.vec_id AS other_id, a.label = b.label AS same,
+    list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM kept a, kept b WHERE a.vec_id % 100 = 0 AND a.row <> b.row),
+positives AS (
+  SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other_id) <= 5)
+SELECT p.anchor_id, p.other_id AS positive_id, row_number() OVER (PARTITION BY p.anchor, p.other ORDER BY n.score DESC, n.other_id)::INTEGER AS rank,
+  n.other_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON p.anchor = n.anchor AND NOT n.same AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score
+QUALIFY rank <= 5
+"""
+
+
+@query(OP13_SQL)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), anchor=F.col("vec_id") % 100 == 0, label=label)
