@@ -30,6 +30,7 @@ SIGNATURE = BANDS * ROWS
 SIMILAR = (4, 5)  # least similarity as a fraction
 LEAST_SEEN = 0.68  # least share of equal signature values
 SMALL_BLOCK, LARGE_BLOCK, FEW_BLOCKS = 1 << 20, 1 << 24, 16  # bytes of a family's block; blocks before they get larger
+MARK_BITS = 1 << 26  # 8 MB
 SLICE = 2_048  # shingles hashed at once, and sets compared at once
 _RNG = np.random.default_rng(42)
 _FACTORS = _RNG.integers(0, 2**64, SIGNATURE // 2, np.uint64, endpoint=False) | np.uint64(1)
@@ -73,37 +74,81 @@ def lanes_of(values: np.ndarray) -> bytes:
     return (mixed(values) * _MIX[0, 0] >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
-SKETCH = "print bigint, n bigint, bands array<bigint>, lanes binary"
+SKETCH = "print bigint, n bigint, bands array<bigint>"
+MEMBERS = "members binary, lanes binary"
 
 
 def sketches(words: int):
     @F.arrow_udf(SKETCH)
     def sketch(texts: pa.Array) -> pa.Array:
-        prints, sizes, bands, lanes = [], [], [], []
+        prints, sizes, bands = [], [], []
         for text in texts:
             shingles = shingles_of(text.as_py(), words)
             prints.append(xxhash.xxh64_intdigest(shingles.tobytes()))
             sizes.append(len(shingles))
-            values = signature(shingles) if len(shingles) else shingles
-            bands.append(bands_of(values) if len(shingles) else shingles)
-            lanes.append(lanes_of(values))
-        cuts = np.append(0, np.cumsum([len(b) for b in bands])).astype(np.int32)
-        flat = np.concatenate(bands) if bands else np.zeros(0, np.uint64)
-        lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat.view(np.int64)))
-        arrays = [pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), lists, pa.array(lanes, pa.binary())]
-        return pa.StructArray.from_arrays(arrays, names=["print", "n", "bands", "lanes"])
+            bands.append(bands_of(signature(shingles)) if len(shingles) else shingles)
+        arrays = [pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), _lists(bands)]
+        return pa.StructArray.from_arrays(arrays, names=["print", "n", "bands"])
 
     return sketch
 
 
-def set_bytes(words: int):
-    @F.arrow_udf("binary")
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    cuts = np.append(0, np.cumsum([len(p) for p in parts])).astype(np.int32)
+    flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat.view(np.int64)))
+
+
+def whole_sets(words: int):
+    @F.arrow_udf(MEMBERS)
     def packed(texts: pa.Array) -> pa.Array:
-        return pa.array([shingles_of(t.as_py(), words).tobytes() for t in texts], pa.binary())
+        sets = [shingles_of(t.as_py(), words) for t in texts]
+        arrays = [pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([lanes_of(signature(s)) for s in sets], pa.binary())]
+        return pa.StructArray.from_arrays(arrays, names=["members", "lanes"])
 
     return packed
 
 
+class Marks:
+    """A bitmap of fixed size over 64-bit hashes, to leave most rows out before a join that decides exactly.
+
+    Marked hashes are never missed. The more there are, the more others pass, too; then the join has more to do.
+    """
+
+    def __init__(self, hashes: DataFrame):
+        at = F.col(hashes.columns[0]).bitwiseAND(F.lit(MARK_BITS - 1))
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+        found = hashes.select(F.shiftright(at, 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+        words = np.zeros(MARK_BITS // 64, np.int64)
+        words[found["word"].to_numpy()] = found["bits"].to_numpy()
+        self.words = hashes.sparkSession.sparkContext.broadcast(words)
+
+    @staticmethod
+    def _hit(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        at = hashes & (MARK_BITS - 1)
+        return (words[at >> 6] >> (at & 63)) & 1 == 1
+
+    def has(self):
+        words = self.words
+
+        @F.arrow_udf("boolean")
+        def marked(hashes: pa.Array) -> pa.Array:
+            return pa.array(Marks._hit(words.value, hashes.to_numpy(zero_copy_only=False)))
+
+        return marked
+
+    def only(self):
+        words = self.words
+
+        @F.arrow_udf("array<bigint>")
+        def marked(lists: pa.Array) -> pa.Array:
+            flat, cuts = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            hit = Marks._hit(words.value, flat)
+            return _lists([flat[a:b][hit[a:b]] for a, b in zip(cuts, cuts[1:])])
+
+        return marked
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     if SIMILAR[1] * min(len(a), len(b)) < SIMILAR[0] * max(len(a), len(b)):
         return False
@@ -165,16 +210,25 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from emit(cell, rows)
 
 
-def similar_links(distinct: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """Links (a, b) that connect similar sets; distinct (print, n, bands, lanes) once each, texts (print, text) at least once."""
-    posts = distinct.select("print", F.explode("bands").alias("band"))
+def families_of(distinct: DataFrame) -> DataFrame:
+    """(print, family) of the sets that share a band with another; distinct (print, bands) once each."""
+    sizes = distinct.select(F.explode("bands").alias("band")).groupBy("band").agg(F.count("*").alias("size"))
+    shared = stage(sizes.where("size > 1").select("band"), "shared-bands")
+    likely = distinct.select("print", F.explode(Marks(shared).only()("bands")).alias("band"))
+    posts = stage(likely.join(shared, "band"), "shared-posts")
     # every set of a band hangs on the smallest of it
-    first = posts.groupBy("band").agg(F.min("print").alias("first"), F.count("*").alias("size")).where("size > 1").select("band", "first")
-    stars = stage(posts.join(first, "band").where("print <> first").select(F.col("print").alias("a"), F.col("first").alias("b")).distinct(), "band-stars")
-    families = stage(components(stars).select(F.col("node").alias("print"), F.col("root").alias("family")), "families")
-    asked = texts.join(families.select("print"), "print", "left_semi").groupBy("print").agg(F.min_by("text", F.length("text")).alias("text"))
-    members = asked.select("print", set_bytes(words)("text").alias("members"))
-    members = stage(members.join(families, "print").join(distinct.select("print", "lanes"), "print"), "family-sets")
+    first = posts.groupBy("band").agg(F.min("print").alias("first"))
+    stars = posts.join(first, "band").where("print <> first").select(F.col("print").alias("a"), F.col("first").alias("b"))
+    return components(stars.distinct()).select(F.col("node").alias("print"), F.col("root").alias("family"))
+
+
+def similar_links(distinct: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """Links (a, b) that connect similar sets; distinct (print, key, bands) once each, key the hash of a text in docs."""
+    families = stage(families_of(distinct).join(distinct.select("print", "key"), "print"), "families")
+    marked = Marks(families.select("key"))
+    texts = docs.select(F.xxhash64("text").alias("key"), "text").where(marked.has()("key")).groupBy("key").agg(F.first("text").alias("text"))
+    found = texts.join(families, "key").select("print", "family", whole_sets(words)("text").alias("_s"))
+    members = stage(found.select("print", "family", "_s.*"), "family-sets")
     weight = (F.octet_length("members") + SIGNATURE + 64).cast("long")
     weights = members.groupBy("family").agg(F.sum(weight).alias("bytes"))
     blocks = F.ceil(F.col("bytes") / SMALL_BLOCK)
@@ -197,10 +251,10 @@ def near_duplicates(docs: DataFrame, words: int = 4) -> DataFrame:
     texts. A row without doc_id is never the smallest; where no row of a component has a doc_id, component_id is null and
     its rows are kept. Extra columns are not read. An empty table gives no rows.
     """
-    found = docs.select("doc_id", "text", sketches(words)("text").alias("_s"))
-    rows = stage(found.select("doc_id", "text", "_s.*"), "min-max-sketches")
-    distinct = stage(rows.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("lanes").alias("lanes")), "distinct-sets")
-    links = stage(similar_links(distinct, rows.where("n > 0").select("print", "text"), words), "similar-sets")
+    found = docs.select("doc_id", F.xxhash64("text").alias("key"), sketches(words)("text").alias("_s"))
+    rows = stage(found.select("doc_id", "key", "_s.*"), "min-max-sketches")
+    distinct = stage(rows.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), F.first("bands").alias("bands")), "distinct-sets")
+    links = stage(similar_links(distinct, docs, words), "similar-sets")
     roots = stage(components(links), "set-roots")
     smallest = distinct.join(roots, F.col("print") == F.col("node")).groupBy("root").agg(F.min("least").alias("least"))
     linked = roots.join(smallest, "root").select(F.col("node").alias("print"), "least")
