@@ -35,8 +35,6 @@ SEVERITY_SCORES = (
 # Line markers of a rendered report.
 MATCH_MARK = ">>>"
 CONTEXT_MARK = "   "
-# "[Line 0] >>> " is the shortest prefix a rendered line can have.
-MIN_RENDERED = 13
 
 
 def strip(text: Column) -> Column:

@@ -9,14 +9,18 @@ from pyspark.sql import functions as F
 
 from logtriage.config import MAX_DUPLICATES, TOKENS_PER_LINE
 from logtriage.functions.text import (
-    MIN_RENDERED,
     core_message,
     is_problem,
     is_warning,
     render_line,
     severity_score,
 )
+from logtriage.operators.ordered_scan import BEFORE, UP_TO_HERE, block_of
+from logtriage.session import staged
 
+# The budget's running sums: lines of a block, blocks of a group.
+BUDGET_LINES = 1 << 12
+BUDGET_BLOCKS = 1 << 10
 # The current order of lines: by rank (0 for all unless prioritised), then by position.
 CURRENT_ORDER = (F.desc, "priority"), (F.asc, "line_index")
 
@@ -45,43 +49,57 @@ def deduplicate(
     )
 
 
-def max_lines(budget_chars: int) -> int:
-    """More rendered lines than this cannot fit the budget."""
-    return max(budget_chars, 0) // MIN_RENDERED + 1
-
-
 def fit_budget(
     ranked: DataFrame,
     budget: Column,
-    line_limit: int,
     *,
     keys: Sequence[str] = ("file",),
     matches_first: bool = True,
 ) -> DataFrame:
     """The lines that fit the budget, with `rendered` text and its `cost` (one for the line end).
 
-    Costs are positive, so "stop at the first line that does not fit" is a running-sum prefix. The
-    rank cut at `line_limit` is exact and is applied before any shuffle (it becomes a partial group
-    limit), so the running sums see a set bounded by the budget, whatever the log size.
+    Costs are positive, so "stop at the first line that does not fit" is a running-sum prefix: of all
+    lines in current order, or of the matches and then of the context with what the matches left.
+    The prefix is found in three steps, see `_prefix`; no task gets the whole selection of a key.
     """
-    groups = [*keys, "is_match"] if matches_first else list(keys)
-    order = Window.partitionBy(*groups).orderBy(*current_order())
-    candidates = ranked.withColumn("_rank", F.row_number().over(order)).where(
-        F.col("_rank") <= line_limit
-    )
-    candidates = candidates.withColumn(
+    rows = ranked.withColumn(
         "rendered", render_line(F.col("line_index"), F.col("is_match"), F.col("line"))
     ).withColumn("cost", (F.length("rendered") + 1).cast("long"))
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    candidates = candidates.withColumn("_upto", F.sum("cost").over(upto)).where(
-        F.col("_upto") <= budget
-    )
-    if matches_first:
-        spent = F.sum(F.when(F.col("is_match"), F.col("cost"))).over(Window.partitionBy(*keys))
-        candidates = candidates.withColumn("_spent", F.coalesce(spent, F.lit(0))).where(
-            F.col("is_match") | (F.col("_upto") + F.col("_spent") <= budget)
-        )
-    return candidates.drop("_rank", "_upto", "_spent")
+    rows = rows.withColumn("_budget", budget.cast("long"))
+    if not matches_first:
+        return _prefix(rows, keys)
+    # Bounded by the budgets, and read twice: what they spent, and they themselves.
+    matches = staged(_prefix(rows.where("is_match"), keys), "fitting-matches")
+    spent = matches.groupBy(*keys).agg(F.sum("cost").alias("_spent"))
+    return matches.unionByName(_prefix(rows.where("NOT is_match"), keys, spent))
+
+
+def _prefix(rows: DataFrame, keys: Sequence[str], spent: DataFrame | None = None) -> DataFrame:
+    """Rows whose running cost, in current order within their keys, stays within `_budget`.
+
+    Costs are added up by block of lines, and those sums by group of blocks: partial aggregates of narrow rows.
+    The running sum over groups (one row for millions of lines) tells the groups that begin within the
+    budget, the one inside those groups the blocks, and only lines of such blocks are summed one by
+    one, each block by itself. The budget bounds how many blocks can begin within it, whatever the log.
+    """
+    group, block = [*keys, "priority", "_group"], [*keys, "priority", "_block"]
+    rows = rows.withColumn("_block", block_of(F.col("line_index"), BUDGET_LINES))
+    blocks = rows.groupBy(*block).agg(F.sum("cost").alias("_cost"), F.first("_budget").alias("_budget"))
+    if spent is not None:
+        left = F.col("_budget") - F.coalesce("_spent", F.lit(0))
+        blocks = blocks.join(spent, list(keys), "left").withColumn("_budget", left).drop("_spent")
+    blocks = blocks.withColumn("_group", block_of(F.col("_block"), BUDGET_BLOCKS))
+    groups = blocks.groupBy(*group).agg(F.sum("_cost").alias("_cost"), F.first("_budget").alias("_budget"))
+    in_order = Window.partitionBy(*keys).orderBy(F.desc("priority"), "_group").rowsBetween(*BEFORE)
+    before = lambda w: F.coalesce(F.sum("_cost").over(w), F.lit(0))
+    groups = groups.withColumn("_offset", before(in_order)).where("_offset < _budget")
+    within = Window.partitionBy(*group).orderBy("_block").rowsBetween(*BEFORE)
+    begun = blocks.join(groups.select(*group, "_offset"), group)
+    begun = begun.withColumn("_offset", F.col("_offset") + before(within)).where("_offset < _budget")
+    lines = Window.partitionBy(*block).orderBy("line_index").rowsBetween(*UP_TO_HERE)
+    found = rows.drop("_budget").join(begun.select(*block, "_offset", "_budget"), block)
+    found = found.withColumn("_upto", F.col("_offset") + F.sum("cost").over(lines)).where("_upto <= _budget")
+    return found.drop("_block", "_offset", "_upto", "_budget")
 
 
 ENTRY = "struct<priority:bigint,line_index:bigint,text:string>"

@@ -49,16 +49,14 @@ def rank_lines(selected: DataFrame, cfg: KeywordFilterConfig) -> DataFrame:
 
 
 def keyword_filter(lines: DataFrame, cfg: KeywordFilterConfig) -> Filtered:
-    """One filter run over the log that the config names; `lines` may hold others, too."""
+    """One filter run over the log that the config names; `lines` may hold others, too.
+
+    The kept lines are written once, since totals and budget both read them.
+    """
     lines = lines.where(named_log(cfg.log_file_path))
     keys = ["file"]
-    kept = rank_lines(select_lines(lines, cfg), cfg)
-    included = selection.fit_budget(
-        kept,
-        F.lit(cfg.line_chars),
-        selection.max_lines(cfg.line_chars),
-        matches_first=cfg.prioritize_matches,
-    )
+    kept = staged(rank_lines(select_lines(lines, cfg), cfg), "kept")
+    included = selection.fit_budget(kept, F.lit(cfg.line_chars), matches_first=cfg.prioritize_matches)
     asked = lines.select("file").distinct()
     outcome = selection.outcome(kept, included, asked, matches_first=cfg.prioritize_matches)
     return Filtered(keys, kept, included, outcome.where("total > 0"), report.report_text(outcome))
@@ -99,8 +97,7 @@ def keyword_filter_batch(requests: DataFrame, lines: DataFrame) -> Filtered:
     selected = staged(fetch_text(near.drop("hit_rank", "prev_hit", "next_hit"), lines), "selected")
     ranked = selection.prioritize(selected, F.col("prioritize_by_severity"))
     kept = _deduplicate_where_asked(ranked)
-    widest = requests.agg(F.max(budget)).first()[0] or 0
-    included = selection.fit_budget(kept, F.col("budget"), selection.max_lines(widest), keys=REQUEST)
+    included = selection.fit_budget(kept, F.col("budget"), keys=REQUEST)
     outcome = selection.outcome(kept, included, requests.select("request_id"), REQUEST)
     return Filtered(REQUEST, kept, included, outcome.where("total > 0"), report.report_text(outcome, REQUEST))
 
