@@ -46,17 +46,22 @@ def number_lines(
     `per_key` holds further columns that are constant for a key. They travel with the block
     summaries, not with the lines.
 
+    Lines of a stored log may have its columns `ts`, the line's timestamp, and `carried`, what its block inherits;
+    then no text is parsed for dates, and blocks outside the bounds may be missing.
+
     With `hit`, also is_match, hit_rank (0-based among the hits) and the line_index of the nearest
     hit before (or at) and after (or at) the line: prev_hit, next_hit.
     """
     dated = start is not None or end is not None
     no_bound = F.lit(None).cast("timestamp_ntz")
     places = [*keys, "block"]
+    stamp = F.col("ts") if "ts" in lines.columns else line_timestamp(F.col("line"))
     rows = lines.select(
         *places,
         "pos",
         *carry,
-        (line_timestamp(F.col("line")) if dated else no_bound).alias("_ts"),
+        (stamp if dated else no_bound).alias("_ts"),
+        (F.col("carried") if dated and "carried" in lines.columns else no_bound).alias("_carried"),
         (no_bound if start is None else start).alias("_from"),
         (no_bound if end is None else end).alias("_to"),
         (F.lit(False) if hit is None else hit).alias("_hit"),
@@ -73,7 +78,7 @@ def number_lines(
 def _local_state(rows: DataFrame, places: list[str], want_hits: bool) -> DataFrame:
     ahead = Window.partitionBy(*places).orderBy("pos").rowsBetween(*UP_TO_HERE)
     back = Window.partitionBy(*places).orderBy(F.desc("pos")).rowsBetween(*UP_TO_HERE)
-    local = F.last("_ts", ignorenulls=True).over(ahead)
+    local = F.coalesce(F.last("_ts", ignorenulls=True).over(ahead), "_carried")
     rows = rows.withColumn("_local", local)
     head = F.col("_local").isNull()
     live = head | in_range(F.col("_local"), F.col("_from"), F.col("_to"))

@@ -7,13 +7,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logtriage.config import CHARS_PER_TOKEN, SUMMARY_RESERVE, KeywordFilterConfig, date_bounds
+from logtriage.config import CHARS_PER_TOKEN, SUMMARY_RESERVE, KeywordFilterConfig, VectorFilterConfig, date_bounds
 from logtriage.functions.text import log_key, named_log
 from logtriage.operators import report, selection
 from logtriage.operators.keywords import any_keyword, keyword_hit
 from logtriage.operators.log_view import date_literals, fetch_text, number_lines, with_context
 from logtriage.operators.requests import bounds, with_defaults, with_patterns
 from logtriage.session import join_small, staged
+from logtriage.sources.logs import StoredLog
 
 REQUEST = ["request_id"]
 SETTINGS = ["context_lines", "deduplicate", "prioritize_by_severity", "budget"]
@@ -30,9 +31,18 @@ class Filtered:
     reports: DataFrame
 
 
-def select_lines(lines: DataFrame, cfg: KeywordFilterConfig) -> DataFrame:
+def log_of(lines: DataFrame | StoredLog, cfg: KeywordFilterConfig | VectorFilterConfig) -> DataFrame:
+    """The lines of the config's log; of a stored log only blocks that its dates can touch."""
+    if not isinstance(lines, StoredLog):
+        return lines.where(named_log(cfg.log_file_path))
+    start, end = date_bounds(cfg.start_date, cfg.end_date)
+    own = lines.of(cfg.log_file_path)
+    return own.between(*date_literals(start, end)) if start or end else own.lines
+
+
+def select_lines(lines: DataFrame | StoredLog, cfg: KeywordFilterConfig) -> DataFrame:
     """(file, block, pos, line_index, is_match, line) of the config's log: hits with context after the date filter."""
-    lines = lines.where(named_log(cfg.log_file_path))
+    lines = log_of(lines, cfg)
     start, end = date_bounds(cfg.start_date, cfg.end_date)
     low, high = date_literals(start, end) if start or end else (None, None)
     numbered = number_lines(
@@ -48,16 +58,18 @@ def rank_lines(selected: DataFrame, cfg: KeywordFilterConfig) -> DataFrame:
     return selection.deduplicate(ranked, keep=cfg.max_duplicates) if cfg.deduplicate else ranked
 
 
-def keyword_filter(lines: DataFrame, cfg: KeywordFilterConfig) -> Filtered:
+def keyword_filter(lines: DataFrame | StoredLog, cfg: KeywordFilterConfig) -> Filtered:
     """One filter run over the log that the config names; `lines` may hold others, too.
 
+    Of a stored log only the blocks are read that the dates can touch.
+
     The kept lines are written once, since totals and budget both read them.
     """
-    lines = lines.where(named_log(cfg.log_file_path))
     keys = ["file"]
     kept = staged(rank_lines(select_lines(lines, cfg), cfg), "kept")
     included = selection.fit_budget(kept, F.lit(cfg.line_chars), matches_first=cfg.prioritize_matches)
-    asked = lines.select("file").distinct()
+    known = lines.blocks if isinstance(lines, StoredLog) else lines
+    asked = known.where(named_log(cfg.log_file_path)).select("file").distinct()
     outcome = selection.outcome(kept, included, asked, matches_first=cfg.prioritize_matches)
     return Filtered(keys, kept, included, outcome.where("total > 0"), report.report_text(outcome))
 

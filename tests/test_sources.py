@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import random
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
+from logtriage.config import KeywordFilterConfig, VectorFilterConfig
 from logtriage.operators.catalog import context_items
+from logtriage.plans.keyword_filter import keyword_filter
+from logtriage.plans.vector_filter import vector_filter
 from logtriage.session import join_small, shared_folder
 from logtriage.sources.catalog import scan_catalog
 from logtriage.sources.documents import load_documents
 from logtriage.sources.index_store import ensure_index, read_index
-from logtriage.sources.logs import numbered_lines, scan_logs, store_dated, store_lines
+from logtriage.operators.log_view import date_literals, number_lines
+from logtriage.sources.logs import load_log, numbered_lines, scan_logs, store_dated, store_lines, store_log
 from logtriage.sources.results import latest_result, load_results, save_results, write_text
 
 
@@ -35,6 +40,65 @@ def test_log_scan_keeps_order_over_splits(spark, tmp_path):
     assert dated.where("eff_date = '2025-10-12'").count() == 401
 
 
+def files_read(df):
+    """Run df and add up the files that its scans of stored lines opened."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.finalPhysicalPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan
+    total, rest = 0, [plan]
+    while rest:
+        node = rest.pop()
+        if node.nodeName().startswith("Scan parquet") and "/lines" in node.metadata().apply("Location"):
+            total += node.metrics().apply("numFiles").value()
+        rest += [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName().endswith("QueryStage"):
+            rest.append(node.plan())
+    return total
+
+
+def test_dates_open_only_the_blocks_they_touch(spark, log, tmp_path):
+    lines = [f"2025-{1 + n // 1000:02d}-{1 + n // 100 % 10:02d}T10:00:00 line {n}" if n % 7 else "  more" for n in range(4000)]
+    stored = store_log(log(lines, 50).unionByName(log(lines, 50, "other")), str(tmp_path / "log"))
+    assert stored.blocks.count() == 160
+    low, high = date_literals("2025-02-03T00:00:00", "2025-02-03T23:59:59")
+    kept = stored.of("log").between(low, high)
+    opened = files_read(kept)
+    assert opened == 3  # lines 1200 to 1299 lie in two blocks; the log's first line has no time
+    got = number_lines(kept, start=low, end=high)
+    want = number_lines(log(lines, 50), start=low, end=high)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 101
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_stored_log_keeps_the_same_lines(spark, log, tmp_path, seed):
+    """Times that jump, blocks without any, a head without time: as without a summary."""
+    rng = random.Random(seed)
+    stamps = ["", "", "", "2025-01-05T10:00:00 ", "2025-01-06T10:00:00 ", "2025-01-07 23:59:59 ", "2025-13-07T10:00:00 "]
+    lines = [rng.choice(stamps if n > 5 else stamps[:1]) + f"x {n}" for n in range(90)]
+    stored = store_log(log(lines, 4), str(tmp_path / "log"))
+    stored = load_log(spark, str(tmp_path / "log"))
+    for start, end in (("2025-01-06T00:00:00", "2025-01-06T23:59:59"), (None, "2025-01-05T23:59:59"), ("2025-01-07T00:00:00", None), ("2025-02-01T00:00:00", None)):
+        low, high = date_literals(start, end)
+        got = number_lines(stored.of("log").between(low, high), start=low, end=high)
+        want = number_lines(log(lines, 4), start=low, end=high)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_filters_take_a_stored_log(spark, log, tmp_path):
+    lines = [f"2025-01-{1 + n // 40:02d}T10:00:{n % 60:02d} {'memory' if n % 9 == 0 else 'plain'} {n}" for n in range(400)]
+    both = log(lines, 16).unionByName(log(["2025-01-04T10:00:00 memory"], 16, "other"))
+    stored = store_log(both, str(tmp_path / "log"))
+    cfg = KeywordFilterConfig(log_file_path="log", keywords=("memory",), start_date="2025-01-04", end_date="2025-01-05")
+    texts = [keyword_filter(source, cfg).reports.collect() for source in (both, stored)]
+    assert texts[0] == texts[1] and len(texts[0]) == 1
+    nothing = KeywordFilterConfig(log_file_path="log", keywords=("memory",), start_date="2026-01-04")
+    texts = [keyword_filter(source, nothing).reports.collect() for source in (both, stored)]
+    assert texts[0] == texts[1] and len(texts[0]) == 1
+    question = VectorFilterConfig(log_file_path="log", issue_description="memory", start_date="2025-01-04", end_date="2025-01-05")
+    hits = [vector_filter(source, question, str(tmp_path / f"index-{n}")).select("chunk_id", "text").collect() for n, source in enumerate((both, stored))]
+    assert sorted(hits[0]) == sorted(hits[1]) and hits[0]
+
+
 def test_shared_folder(spark):
     class Unset:
         sparkContext = spark.sparkContext

@@ -13,7 +13,7 @@ from logtriage.operators.report import parse_report, report_size
 from logtriage.plans.keyword_filter import keyword_filter, rank_lines, select_lines
 from logtriage.session import new_table_path
 from logtriage.sources.documents import load_documents
-from logtriage.sources.logs import scan_logs
+from logtriage.sources.logs import scan_logs, store_log
 from workload import filter_sql as q
 from workload.registry import query
 from workload.tables import DOCUMENTS_SQL, EVENTS_SQL, document_lines, event_lines, read
@@ -91,6 +91,35 @@ def date_filter(spark, sf_dir):
     return fetch_text(dated(lines), lines).select("line_index", "pos", "line")
 
 
+STORED_BLOCK = 2_000
+
+
+@query(f"WITH {EVENTS_SQL}, {KEPT} SELECT line_index, pos, line FROM kept")
+def date_filter_stored(spark, sf_dir):
+    lines = event_lines(spark, sf_dir).withColumn("block", ordered_scan.block_of(F.col("pos"), STORED_BLOCK))
+    log = store_log(lines, new_table_path(spark, "stored-log"))
+    kept = log.of("events").between(*date_literals("2024-01-05T00:00:00", "2024-01-12T23:59:59"))
+    return fetch_text(dated(kept), kept).select("line_index", "pos", "line")
+
+
+@query(f"WITH {EVENTS_SQL}, {KEPT}, {q.selected_sql(ERROR, 2)} SELECT line_index, is_match, line FROM sel")
+def context_lines_stored(spark, sf_dir):
+    lines = event_lines(spark, sf_dir).withColumn("block", ordered_scan.block_of(F.col("pos"), STORED_BLOCK))
+    return select_lines(store_log(lines, new_table_path(spark, "stored-log")), config()).select("line_index", "is_match", "line")
+
+
+@query(f"""WITH {EVENTS_SQL}, {q.eff_sql()}, b AS (SELECT file, pos // {STORED_BLOCK} AS block, count(*) AS n,
+    arg_min(ts, pos) FILTER (ts IS NOT NULL) AS first_ts, arg_max(ts, pos) FILTER (ts IS NOT NULL) AS last_ts, min(ts) AS least_ts, max(ts) AS most_ts, arg_min(ts IS NOT NULL, pos) AS begins_dated
+    FROM eff GROUP BY file, block)
+SELECT file, block, n, begins_dated, {', '.join(f"strftime({c}, '%Y-%m-%d %H:%M:%S') AS {c}" for c in ('first_ts', 'last_ts', 'least_ts', 'most_ts', 'carried'))}
+FROM (SELECT *, last_value(last_ts IGNORE NULLS) OVER (PARTITION BY file ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS carried FROM b)""")
+def log_block_summary(spark, sf_dir):
+    lines = event_lines(spark, sf_dir).withColumn("block", ordered_scan.block_of(F.col("pos"), STORED_BLOCK))
+    blocks = store_log(lines, new_table_path(spark, "stored-log")).blocks
+    stamps = ("first_ts", "last_ts", "least_ts", "most_ts", "carried")
+    return blocks.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in stamps})
+
+
 # --- keywords -------------------------------------------------------------------------------------
 
 DOC_WORDS = ["über", "là", "the"]
