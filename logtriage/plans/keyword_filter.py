@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from logtriage.config import CHARS_PER_TOKEN, SUMMARY_RESERVE, KeywordFilterConfig, VectorFilterConfig, date_bounds
 from logtriage.functions.text import log_key, named_log
 from logtriage.operators import report, selection
-from logtriage.operators.keywords import any_keyword, keyword_hit
+from logtriage.operators.keywords import any_keyword, keyword_hits, keyword_terms
 from logtriage.operators.log_view import date_literals, fetch_text, number_lines, with_context
-from logtriage.operators.requests import bounds, with_defaults, with_patterns
+from logtriage.operators.requests import bounds, with_defaults
 from logtriage.session import join_small, staged
 from logtriage.sources.logs import StoredLog
 
@@ -77,36 +77,20 @@ def keyword_filter(lines: DataFrame | StoredLog, cfg: KeywordFilterConfig) -> Fi
 def keyword_filter_batch(requests: DataFrame, lines: DataFrame) -> Filtered:
     """One filter run per request, each over its own log, all in one job.
 
-    The request columns follow the schema in logtriage.schemas. Requests are joined to the lines of
-    their log behind a size check; what is shuffled per line is its place, not its text. The selected
-    lines are written once, since totals and budget both read them.
+    The request columns follow the schema in logtriage.schemas. A log is read once for all requests about it: its
+    lines are numbered once per date view (a pair of bounds), and searched once for all keywords that anyone asks
+    for. Requests receive only hits, and the lines around them. The selected lines are written once, since totals
+    and budget both read them.
     """
     requests = with_defaults(requests)
     low, high = bounds(F.col("start_date"), F.col("end_date"))
     budget = (F.col("max_tokens") * CHARS_PER_TOKEN - SUMMARY_RESERVE).cast("long")
-    asked = with_patterns(requests).select(
-        "request_id",
-        log_key(F.col("log_file_path")).alias("file"),
-        low.alias("low"),
-        high.alias("high"),
-        "pattern",
-        "bare",
-        *SETTINGS[:-1],
-        budget.alias("budget"),
-    )
-    specs = asked.drop(*SETTINGS)
-    size = F.octet_length("pattern") + F.octet_length("file") + 128
-    pairs = join_small(lines, specs, ["file"], size, spread=F.col("pos"))
-    numbered = number_lines(
-        pairs,
-        keys=REQUEST,
-        start=F.col("low"),
-        end=F.col("high"),
-        hit=keyword_hit(),
-        per_key=asked.select("request_id", "file", *SETTINGS),
-    )
-    near = with_context(numbered, F.col("context_lines"), keys=REQUEST)
-    selected = staged(fetch_text(near.drop("hit_rank", "prev_hit", "next_hit"), lines), "selected")
+    asked = requests.withColumns({"file": log_key(F.col("log_file_path")), "low": low, "high": high, "budget": budget})
+    view = F.xxhash64(F.concat_ws("|", "file", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("low", "high")]))
+    asked = asked.withColumn("view", view).select("request_id", "view", "file", "low", "high", "keywords", *SETTINGS)
+    numbered = staged(number_views(lines, asked), "numbered-lines")
+    hits = keyword_hits(lines, keyword_terms(asked))
+    selected = staged(fetch_text(_around_hits(numbered, hits, asked), lines), "selected")
     ranked = selection.prioritize(selected, F.col("prioritize_by_severity"))
     kept = _deduplicate_where_asked(ranked)
     included = selection.fit_budget(kept, F.col("budget"), keys=REQUEST)
@@ -114,6 +98,27 @@ def keyword_filter_batch(requests: DataFrame, lines: DataFrame) -> Filtered:
     return Filtered(REQUEST, kept, included, outcome.where("total > 0"), report.report_text(outcome, REQUEST))
 
 
+def number_views(lines: DataFrame, asked: DataFrame) -> DataFrame:
+    """(view, file, block, pos, line_index): the lines that each date view keeps, numbered."""
+    views = asked.select("view", "file", "low", "high").distinct()
+    pairs = join_small(lines, views, ["file"], F.octet_length("file") + 96, spread=F.col("pos"))
+    return number_lines(pairs, keys=["view"], start=F.col("low"), end=F.col("high"), carry=["file"])
+
+
+def _around_hits(numbered: DataFrame, hits: DataFrame, asked: DataFrame) -> DataFrame:
+    """Settings, place, line_index and is_match of each request's hits and the lines around them."""
+    wanted = asked.select("request_id", "view", "file", "context_lines", F.explode(F.array_distinct("keywords")).alias("keyword"))
+    size = F.octet_length("file") + F.octet_length("keyword") + 64
+    found = join_small(hits, wanted, ["file", "keyword"], size, spread=F.col("pos"))
+    found = found.select("request_id", "view", "block", "pos", "context_lines").distinct()
+    found = found.join(numbered.select("view", "block", "pos", "line_index"), ["view", "block", "pos"])
+    near = F.sequence(F.col("line_index") - F.col("context_lines"), F.col("line_index") + F.col("context_lines"))
+    around = found.select("request_id", "view", F.col("line_index").alias("_hit"), F.explode(near).alias("line_index"))
+    chosen = around.groupBy("request_id", "view", "line_index").agg(F.max(F.col("_hit") == F.col("line_index")).alias("is_match"))
+    chosen = chosen.join(numbered, ["view", "line_index"]).drop("view", "file")
+    return chosen.join(asked.select("request_id", "file", *SETTINGS), "request_id")
+
+
 def _deduplicate_where_asked(ranked: DataFrame) -> DataFrame:
     """Where duplicates are wanted, each line is made a message of its own."""
     own = F.when(~F.col("deduplicate"), F.col("line_index"))

@@ -12,10 +12,12 @@ from logtriage.config import KeywordFilterConfig, VectorFilterConfig, date_bound
 from logtriage.functions.patterns import FLAGS, any_keyword_regex_column, keyword_regex
 from logtriage.functions.text import core_message, duration_text, lines_of, strip
 from logtriage.operators import selection
-from logtriage.operators.keywords import any_keyword, keyword_counts
+from logtriage.operators.keywords import any_keyword, keyword_counts, keyword_hits, keyword_terms
 from logtriage.operators.log_view import date_literals, number_lines, with_context
 from logtriage.operators.report import parse_report, parsed_reports, preview
-from logtriage.plans.keyword_filter import keyword_filter, keyword_filter_batch, select_lines
+from logtriage.plans.keyword_filter import keyword_filter, keyword_filter_batch, number_views, select_lines
+from logtriage.schemas import REQUESTS
+from logtriage.session import join_small
 
 INCIDENT = [
     "2025-10-15T08:00:00 LogLevel.i Payment gateway is listening",
@@ -103,6 +105,41 @@ def test_malformed_bound_keeps_all(log):
     assert [r[0] for r in rows(select_lines(log(DATED), cfg), "line_index")] == [1, 7]
 
 
+KEYWORDS = ["error", "LogLevel.w", "***", "", "über", "time out", "-foo", "foo-", "k", "ſ", "İ", "a_b", "error: x", "x", "STRASSE", "."]
+WORDS = ["error", "Error:", "LOGLEVEL.W", "loglevelxw", "***", "ÜBER", "über", "time", "out", "a-foo", "-foo", "foo-b", "K", "S", "ſ", "i̇", "a_b", "x", "straße", "x.y", ""]
+
+
+@pytest.mark.parametrize("limit", [1 << 26, 0])
+def test_keyword_hits_equal_each_pattern(spark, log, monkeypatch, limit):
+    monkeypatch.setattr(join_small, "__defaults__", (limit,))
+    rng = random.Random(3)
+    lines = [" ".join(rng.choices(WORDS, k=rng.randrange(6))) for _ in range(300)]
+    both = log(lines, 40).unionByName(log(lines[:50], 40, "other"))
+    asked = spark.createDataFrame([("log", KEYWORDS[:9]), ("log", KEYWORDS[5:]), ("other", ["x", "x", "***"]), ("missing", ["x"])], "file string, keywords array<string>")
+    got = sorted(tuple(r) for r in keyword_hits(both, keyword_terms(asked)).select("file", "pos", "keyword").collect())
+    want = []
+    for name, words in (("log", KEYWORDS), ("other", ["x", "***"])):
+        own = both.where(F.col("file") == name)
+        for k in words:
+            want += [(name, r["pos"], k) for r in own.where(F.rlike("line", F.lit(FLAGS + keyword_regex(k)))).select("pos").collect()]
+    assert got == sorted(want) and len({k for _, _, k in got}) > 11
+
+
+def test_batch_reads_a_log_once_per_date_view(spark, log):
+    lines = [f"2025-10-{1 + n // 30:02d}T10:00:00 w{n % 17} rest" for n in range(120)]
+    rows = [(i, "log", "x", [f"w{i % 20}", "none"], "llm", None if i % 2 else "2025-10-02", None, 900, 1, False, False) for i in range(40)]
+    asked = spark.createDataFrame(rows, REQUESTS)
+    views = asked.select(F.lit("log").alias("file"), F.when(F.col("start_date").isNull(), 1).otherwise(2).alias("view"), F.col("start_date").cast("timestamp_ntz").alias("low"), F.lit(None).cast("timestamp_ntz").alias("high"))
+    assert number_views(log(lines, 16), views).count() == 120 + 90  # not 40 x 120
+    kept = keyword_filter_batch(asked, log(lines, 16)).kept
+    got = {}
+    for r in kept.collect():
+        got.setdefault(r["request_id"], []).append((r["line_index"], r["is_match"]))
+    for i in range(40):
+        own = [line for line in lines if i % 2 or line >= "2025-10-02"]
+        assert sorted(got.get(i, [])) == _brute_force(own, f"w{i % 20}", 1, None)
+
+
 def _brute_force(lines, word, context, most):
     hits = [n for n, line in enumerate(lines) if re.search(rf"\b{word}\b", line, re.IGNORECASE)]
     hits = hits[:most] if most else hits

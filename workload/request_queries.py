@@ -16,6 +16,8 @@ from logtriage.sources.results import latest_by, latest_result, load_results, sa
 from workload import filter_sql as q
 from workload.registry import query
 from workload.tables import (
+    EVENTS_SQL,
+    event_lines,
     ANSWERS_SQL,
     REQUESTS_SQL,
     USERS_SQL,
@@ -117,12 +119,12 @@ def extract_keywords(spark, sf_dir):
 
 # --- the keyword filter for all requests ------------------------------------------------------------
 
-REQUEST_FILTER_SQL = f"""{USERS_SQL.replace('src AS', 'logs AS', 1)}, {REQUESTS_SQL},
-  kreq AS (SELECT *, max_tokens * 4 - 500 AS chars, '(?i)(^|[^A-Za-z0-9_])(' ||
+KREQ_SQL = f"""kreq AS (SELECT *, max_tokens * 4 - 500 AS chars, '(?i)(^|[^A-Za-z0-9_])(' ||
       array_to_string(list_transform(keywords, lambda k: replace(k, '.', '\\.')), '|') || ')($|[^A-Za-z0-9_])' AS pattern,
       CASE WHEN end_date = '2024/01/20' THEN NULL ELSE TRY_CAST(start_date AS TIMESTAMP) END AS low,
       CASE WHEN end_date = '2024/01/20' THEN NULL ELSE TRY_CAST(end_date || ' 23:59:59' AS TIMESTAMP) END AS high
-    FROM req WHERE filter_mode = 'llm'),
+    FROM req WHERE filter_mode = 'llm')"""
+REQUEST_FILTER_SQL = f"""{USERS_SQL.replace('src AS', 'logs AS', 1)}, {REQUESTS_SQL}, {KREQ_SQL},
   src AS (SELECT kreq.*, pos, line FROM logs JOIN kreq ON file = log_file_path),
   {q.kept_sql("coalesce(low, TIMESTAMP '1900-01-01')", "coalesce(high, TIMESTAMP '2900-01-01')", "request_id")},
   hits AS (SELECT *, regexp_matches(line, pattern) AS is_match FROM kept),
@@ -145,6 +147,20 @@ def keyword_filter_requests(spark, sf_dir):
     return keyword_filter_batch(_by_keyword(spark, sf_dir), user_lines(spark, sf_dir)).reports
 
 
+@query(f"""WITH {EVENTS_SQL.replace('src AS', 'logs AS', 1)}, {REQUESTS_SQL}, {KREQ_SQL},
+  src AS (SELECT kreq.*, pos, line FROM logs, kreq),
+  {q.kept_sql("coalesce(low, TIMESTAMP '1900-01-01')", "coalesce(high, TIMESTAMP '2900-01-01')", "request_id")},
+  around AS (SELECT request_id, line_index, hit, bool_or(hit) OVER (PARTITION BY request_id ORDER BY line_index ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near
+    FROM (SELECT *, regexp_matches(line, pattern) AS hit FROM kept))
+SELECT request_id, count(*) AS total, count(*) FILTER (hit) AS direct, CAST(sum(line_index) AS BIGINT) AS places FROM around WHERE near GROUP BY request_id""")
+def keyword_filter_shared_log(spark, sf_dir):
+    one = {"log_file_path": F.lit("events"), "context_lines": F.lit(2), "deduplicate": F.lit(False)}
+    kept = keyword_filter_batch(_by_keyword(spark, sf_dir).withColumns(one), event_lines(spark, sf_dir)).kept
+    return kept.groupBy("request_id").agg(
+        F.count(F.lit(1)).alias("total"), F.count_if("is_match").alias("direct"), F.sum("line_index").alias("places")
+    )
+
+
 @query(f"""WITH {REQUEST_FILTER_SQL} SELECT request_id, keyword, count(*) AS n FROM
   (SELECT request_id, line, is_match, deduplicate, unnest(list_distinct(keywords)) AS keyword FROM uniq) WHERE is_match
   AND regexp_matches(line, '(?i)(^|[^A-Za-z0-9_])' || replace(keyword, '.', '\\.') || '($|[^A-Za-z0-9_])') GROUP BY ALL""")
