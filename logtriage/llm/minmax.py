@@ -8,7 +8,7 @@ band in common with a chance of 4e-8.
 Sets that share bands, directly or over others, form a family. A family is cut into blocks of bounded size, and every
 two blocks meet in one task, so that each set is shipped once per block of its family and all its members are
 compared there: a pair whose signatures agree too little is left out (a pair at 0.8 falls below LEAST_SEEN with a chance of
-3e-8), one that is connected already too, and the rest are checked on their whole sets. What leaves a task is a spanning set
+9e-8), one that is connected already too, and the rest are checked on their whole sets. What leaves a task is a spanning set
 of links, never more than its sets.
 """
 
