@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -16,6 +17,7 @@ from logtriage.operators.requests import bounds, with_defaults
 from logtriage.session import join_small, staged
 from logtriage.sources.logs import StoredLog
 
+Formatter = Callable[[DataFrame, Sequence[str]], DataFrame]
 REQUEST = ["request_id"]
 SETTINGS = ["context_lines", "deduplicate", "prioritize_by_severity", "budget"]
 
@@ -58,12 +60,13 @@ def rank_lines(selected: DataFrame, cfg: KeywordFilterConfig) -> DataFrame:
     return selection.deduplicate(ranked, keep=cfg.max_duplicates) if cfg.deduplicate else ranked
 
 
-def keyword_filter(lines: DataFrame | StoredLog, cfg: KeywordFilterConfig) -> Filtered:
+def keyword_filter(lines: DataFrame | StoredLog, cfg: KeywordFilterConfig, formatter: Formatter = report.report_text) -> Filtered:
     """One filter run over the log that the config names; `lines` may hold others, too.
 
     Of a stored log only the blocks are read that the dates can touch.
 
-    The kept lines are written once, since totals and budget both read them.
+    The kept lines are written once, since totals and budget both read them. `formatter` makes the reports from
+    (outcome, keys).
     """
     keys = ["file"]
     kept = staged(rank_lines(select_lines(lines, cfg), cfg), "kept")
@@ -71,10 +74,10 @@ def keyword_filter(lines: DataFrame | StoredLog, cfg: KeywordFilterConfig) -> Fi
     known = lines.blocks if isinstance(lines, StoredLog) else lines
     asked = known.where(named_log(cfg.log_file_path)).select("file").distinct()
     outcome = selection.outcome(kept, included, asked, matches_first=cfg.prioritize_matches)
-    return Filtered(keys, kept, included, outcome.where("total > 0"), report.report_text(outcome))
+    return Filtered(keys, kept, included, outcome.where("total > 0"), formatter(outcome, keys))
 
 
-def keyword_filter_batch(requests: DataFrame, lines: DataFrame) -> Filtered:
+def keyword_filter_batch(requests: DataFrame, lines: DataFrame, formatter: Formatter = report.report_text) -> Filtered:
     """One filter run per request, each over its own log, all in one job.
 
     The request columns follow the schema in logtriage.schemas. A log is read once for all requests about it: its
@@ -95,7 +98,7 @@ def keyword_filter_batch(requests: DataFrame, lines: DataFrame) -> Filtered:
     kept = _deduplicate_where_asked(ranked)
     included = selection.fit_budget(kept, F.col("budget"), keys=REQUEST)
     outcome = selection.outcome(kept, included, requests.select("request_id"), REQUEST)
-    return Filtered(REQUEST, kept, included, outcome.where("total > 0"), report.report_text(outcome, REQUEST))
+    return Filtered(REQUEST, kept, included, outcome.where("total > 0"), formatter(outcome, REQUEST))
 
 
 def number_views(lines: DataFrame, asked: DataFrame) -> DataFrame:
