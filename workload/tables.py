@@ -140,6 +140,22 @@ CATALOG_REQUESTS_SQL = f"""cr AS (SELECT request_id, CASE WHEN request_id % 5 =
       [{_list_sql(COLOURS)}, upper({_list_sql(THINGS)}), {_list_sql(KINDS)}] AS three
       FROM (SELECT CAST(conv_id * 10 + turn AS BIGINT) AS request_id FROM conversations WHERE role = 'user')))"""
 
+
+def order_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One request per customer: names and brands of the parts it sent back. Nearly all lists differ."""
+    back = read(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    part = read(spark, sf_dir, "part").select("p_partkey", F.explode(F.split(F.concat_ws(" ", "p_name", "p_brand"), " ")).alias("word"))
+    words = back.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
+    return words.groupBy(F.col("o_custkey").cast("long").alias("request_id")).agg(F.array_sort(F.collect_set("word")).alias("keywords"))
+
+
+ORDER_REQUESTS_SQL = """cr AS (SELECT CAST(o_custkey AS BIGINT) AS request_id, list_sort(list_distinct(list(word))) AS keywords
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+      JOIN (SELECT p_partkey, unnest(string_split(p_name || ' ' || p_brand, ' ')) AS word FROM part) ON l_partkey = p_partkey
+    WHERE l_returnflag = 'R' GROUP BY 1)"""
+
+
 # --- catalog --------------------------------------------------------------------------------------
 
 
