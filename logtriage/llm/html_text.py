@@ -1,7 +1,7 @@
 """Main text of web pages by tree scoring.
 
 Each page becomes a small tree of elements and text blocks. Boilerplate (navigation, headers, footers, adverts,
-forms, comments and the like, told by element, role, class and id) is cut off. Every remaining block gives points for its length
+forms, comments and the like, told by element, role, class and id) is cut off; a form or wrapper around an article is not. Every remaining block gives points for its length
 and its commas to its container, half to the one above, and less further up; a container's points are discounted by
 the share of its text that is links. The best container is the article, with those siblings that look like parts of it.
 A page is handled by itself inside a task; nothing is shuffled.
@@ -31,21 +31,52 @@ _JUNK = frozenset(
     topbar comment comments reply replies respond disqus discussion share sharing social related recommended recommendations widget login search pager
     pagination toolbar skip hidden tags""".split()
 )
+# A name such as "comment-list" is told by its first word if it goes on with one of these.
+_PARTS_OF_PAGE = frozenset(
+    """area bar block body box button buttons card container content feed footer form group header holder inner item items label link links list module nav
+    outer panel row section slot strip text thread title unit widget wrap wrapper zone""".split()
+)
+# Inside an article these are its own parts; ids of prose are link targets, not kinds of parts.
+_FINE_IN_ARTICLE = frozenset("header masthead".split())
+_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th figcaption".split())
+_CELLS = frozenset("li dt dd td th tr tbody thead tfoot table ul ol dl".split())
 _NEVER_BY_NAME = frozenset("html body article main".split())
+_PHRASING = INLINE | {"p", "li"}
+# Points reach this many levels up, and the article around, however far.
+LEVELS = 10
 _TOKENS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 SIBLING_SHARE, LONG_TEXT = 0.2, 80
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "junk", "points", "chars", "link_chars", "holds_article")
+    __slots__ = ("tag", "parent", "children", "junk", "points", "chars", "link_chars", "holds_article", "depth", "scope", "open", "near", "block", "article", "kept")
 
     def __init__(self, tag: str, parent: Node | None, junk: bool):
         self.tag, self.parent, self.junk = tag, parent, junk
         self.children: list[Node | tuple[str, bool]] = []
         self.points = 0.0
         self.chars = self.link_chars = 0
-        self.holds_article = False
+        self.holds_article = self.kept = False
+        # What would else be found by climbing, so that deep pages cost no more than flat ones: the element around that
+        # bounds implied ends (with the elements open in it), the nearest one that can end by itself, block and article.
+        self.depth = parent.depth + 1 if parent else 0
+        self.scope = self if parent is None or tag in _SCOPES else parent.scope
+        self.open: dict[str, int] = {}
+        self.near = self if tag in _CLOSES else None if tag in _SCOPES or parent is None else parent.near
+        self.block = parent.block if parent is not None and tag in INLINE else self
+        self.article = self if tag in ("article", "main") else parent.article if parent else None
+
+
+def _junk_name(name: str, inside_article: bool) -> bool:
+    """Whether one class or id names boilerplate: by the whole name, its last word, or its first word before a part of a page."""
+    words = [word.lower() for word in _TOKENS.findall(name)]
+    while len(words) > 1 and words[-1].isdigit():
+        words.pop()
+    if not words:
+        return False
+    junk = _JUNK - _FINE_IN_ARTICLE if inside_article else _JUNK
+    return words[-1] in junk or words[0] in junk and all(word in _PARTS_OF_PAGE or word in junk or word.isdigit() for word in words[1:])
 
 
 def _is_junk(tag: str, attributes: list[tuple[str, str | None]], inside_article: bool) -> bool:
@@ -57,8 +88,8 @@ def _is_junk(tag: str, attributes: list[tuple[str, str | None]], inside_article:
             return True
         if name == "role" and value.lower() in _ROLES:
             return True
-        if name in ("class", "id") and tag not in _NEVER_BY_NAME:
-            if any(not _JUNK.isdisjoint(map(str.lower, _TOKENS.findall(word))) for word in value.split()):
+        if name == "class" and tag not in _NEVER_BY_NAME or name == "id" and tag not in _NEVER_BY_NAME | _PROSE:
+            if any(_junk_name(word, inside_article) for word in value.split()):
                 return True
     return False
 
@@ -69,28 +100,33 @@ class _Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("html", None, False)
+        self.nodes = [self.root]
+        self.open: dict[str, int] = {}
         self.links = self.articles = 0
 
     def _up(self, node: Node) -> None:
         while self.at is not node:
             self.links -= self.at.tag == "a"
             self.articles -= self.at.tag in ("article", "main")
+            for counts in (self.open, self.at.parent.scope.open):
+                counts[self.at.tag] -= 1
             self.at = self.at.parent
 
     def handle_starttag(self, tag: str, attributes: list) -> None:
         if tag in ("html", "body"):
             return
-        closing = self.at
-        while closing.parent is not None:  # an open element that this one ends
-            if tag in _CLOSES.get(closing.tag, ()):
+        closing = self.at.near
+        while closing is not None:  # an open element that this one ends
+            if tag in _CLOSES[closing.tag]:
                 self._up(closing.parent)
                 break
-            if closing.tag in _SCOPES:
-                break
-            closing = closing.parent
+            closing = None if closing.tag in _SCOPES else closing.parent.near
         node = Node(tag, self.at, _is_junk(tag, attributes, self.articles > 0))
         self.at.children.append(node)
+        self.nodes.append(node)
         if tag not in VOID:
+            for counts in (self.open, self.at.scope.open):
+                counts[tag] = counts.get(tag, 0) + 1
             self.at = node
             self.links += tag == "a"
             self.articles += tag in ("article", "main")
@@ -104,14 +140,13 @@ class _Tree(HTMLParser):
         self.handle_starttag(tag, attributes)
 
     def handle_endtag(self, tag: str) -> None:
+        # an end of text markup ends nothing beyond the element that bounds it
+        if not (self.at.scope.open if tag in _PHRASING else self.open).get(tag):
+            return
         node = self.at
-        while node.parent is not None:
-            if node.tag == tag:
-                self._up(node.parent)
-                return
-            if node.tag in _SCOPES and tag in INLINE | {"p", "li"} and node.tag != tag:
-                return
+        while node.tag != tag:
             node = node.parent
+        self._up(node.parent)
 
     def handle_data(self, data: str) -> None:
         self.at.children.append((data, self.links > 0))
@@ -119,7 +154,7 @@ class _Tree(HTMLParser):
 
 def _cut(node: Node) -> bool:
     # a wrapper that holds the article is no boilerplate, whatever it is called
-    return node.junk and not (node.holds_article and node.tag not in DROPPED)
+    return node.junk and not (node.holds_article and (node.tag == "form" or node.tag not in DROPPED))
 
 
 def _blocks(node: Node, out: list[tuple[Node, list[str], int]], open_block: list) -> None:
@@ -141,10 +176,7 @@ def _blocks(node: Node, out: list[tuple[Node, list[str], int]], open_block: list
             k += 1
             if isinstance(child, tuple):
                 if open_block[0] is None:
-                    holder = current
-                    while holder.tag in INLINE and holder.parent is not None:
-                        holder = holder.parent
-                    open_block[0] = holder
+                    open_block[0] = current.block
                 open_block[1].append(child[0])
                 open_block[2] += len(child[0].strip()) if child[1] else 0
             elif child.tag == "br":
@@ -183,18 +215,26 @@ def extract(html: str | None) -> str:
         points = (1 + min(text.count(",") + text.count("،") + text.count("、"), 10) + min(len(text) / 100, 3)) * (1 - min(1.0, links / len(text)))
         if holder.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
             points *= 0.3
-        container = holder if holder.tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "li", "td", "th", "dd", "dt", "figcaption") else holder.parent
+        container = holder if holder.tag not in _PROSE else holder.parent
+        # a cell or an entry speaks for what its table or list stands in
+        while container.tag in _CELLS and holder.tag in _CELLS and container.parent is not None and container.depth > holder.depth - LEVELS:
+            container = container.parent
+        first, around = container, holder.article
         share, level = 1.0, 0
-        while container is not None:
+        while container is not None and level < LEVELS:
             container.points += points * share
             candidates.setdefault(container)
             level += 1
             share = 0.5 if level == 1 else 1 / (3 * level)
             container = container.parent
-        while holder is not None:
-            holder.chars += len(text)
-            holder.link_chars += links
-            holder = holder.parent
+        if around is not None and first.depth - around.depth >= LEVELS:
+            around.points += points / (3 * (first.depth - around.depth))
+            candidates.setdefault(around)
+        holder.chars += len(text)
+        holder.link_chars += links
+    for node in reversed(tree.nodes[1:]):  # children come after their parents
+        node.parent.chars += node.chars
+        node.parent.link_chars += node.link_chars
     for node in candidates:
         node.points *= 1 - min(1.0, node.link_chars / max(1, node.chars))
         if node.tag in ("article", "main"):
@@ -212,18 +252,17 @@ def extract(html: str | None) -> str:
                 if alike and (best.tag not in ("article", "main") or sibling.tag == best.tag) or prose:
                     chosen.add(sibling)
 
-    def kept(node: Node | None) -> bool:
-        while node is not None:
-            if node in chosen:
-                return True
-            node = node.parent
-        return False
-
-    return "\n\n".join(text for holder, text, _ in blocks if kept(holder))
+    for node in tree.nodes:
+        node.kept = node in chosen or node.parent is not None and node.parent.kept
+    return "\n\n".join(text for holder, text, _ in blocks if holder.kept)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
-    """pages (page_id, url, html) with text and n_chars (code points); every row is kept, repeated rows too."""
+    """pages (page_id, url, html) with text and n_chars (code points); every row is kept, repeated rows too.
+
+    A null page_id or url stays null, a null or empty html gives an empty text, an empty table an empty one. Other
+    columns are left out, also those named text or n_chars.
+    """
 
     @F.arrow_udf("string")
     def main_text(html: pa.Array) -> pa.Array:
