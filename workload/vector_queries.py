@@ -178,14 +178,27 @@ def nearest_sql(by: str = "") -> str:
     (SELECT request_id, {keys}chunk_id, round(1 - coalesce(dot, 0) / (n * m), 9) AS d FROM {pair} LEFT JOIN dots USING (request_id, {keys}chunk_id)))"""
 
 
-@query(f"""WITH {EVENT_CHUNKS}, ask AS (SELECT 0 AS request_id, 'purchase by u149 fails with error' AS text),
+VECTOR_FILTER_SQL = f"""WITH {EVENT_CHUNKS}, ask AS (SELECT 0 AS request_id, 'purchase by u149 fails with error' AS text),
   {vectors_sql('qv', 'ask', 'request_id')}, {vectors_sql('cv', 'chunks', 'chunk_id')}, {nearest_sql()}
-SELECT chunk_id, rank, round(d, 6) + 0.0 AS score, text FROM near JOIN chunks USING (chunk_id) WHERE rank <= 17""")
+SELECT chunk_id, rank, round(d, 6) + 0.0 AS score, text FROM near JOIN chunks USING (chunk_id) WHERE rank <= 17"""
+
+
+@query(VECTOR_FILTER_SQL)
 def vector_filter_events(spark, sf_dir):
     hits = vector_filter(event_lines(spark, sf_dir), vector_config(), new_table_path(spark, "index"))
     return hits.select("chunk_id", "rank", F.round("score", 6).alias("score"), "text")
 
 
+@query(VECTOR_FILTER_SQL)
+def index_changed_log(spark, sf_dir):
+    """An index of the first half of the log, asked again after the rest was appended."""
+    lines, path = event_lines(spark, sf_dir), new_table_path(spark, "index")
+    half = lines.count() // 2
+    vector_filter(lines.where(F.col("pos") < half), vector_config(), path)
+    hits = vector_filter(lines, vector_config(), path)
+    return hits.select("chunk_id", "rank", F.round("score", 6).alias("score"), "text")
+
+
 BAD_DATES = "end_date = '2024/01/20'"
 VIEWS_SQL = f"""{USERS_SQL.replace('src AS', 'logs AS', 1)}, {REQUESTS_SQL},
   vreq AS (SELECT *, log_file_path || coalesce(start_date, '') || '|' || coalesce(end_date, '') AS view FROM req WHERE filter_mode = 'vector'),
