@@ -13,6 +13,7 @@ import numpy as np
 WINDOW, OVERLAP, WIDTH, CLASSES, MEMBERS = 32, 8, 16, 32, 32
 IDS = CLASSES * MEMBERS
 BATCH = 256
+FIT_BATCH = 128
 NAMES = ("embed", "place", "query", "key", "value", "out", "classes", "members")
 _MASK = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 _ONES = np.ones(WINDOW, np.float32)
@@ -56,16 +57,18 @@ class PairBias:
 
 
 def attend(p: dict[str, np.ndarray], given: np.ndarray) -> tuple:
-    x = p["embed"][given] + p["place"]
+    """Inputs, queries (scaled), keys, values, laid end to end; weights, attended values and states by window."""
+    x = (p["embed"].take(given, axis=0) + p["place"]).reshape(-1, WIDTH)
     q, k, v = x @ p["query"], x @ p["key"], x @ p["value"]
-    s = np.matmul(q, k.transpose(0, 2, 1))
-    s *= WIDTH**-0.5
+    q *= WIDTH**-0.5
+    by_window = lambda t: t.reshape(-1, WINDOW, WIDTH)
+    s = np.matmul(by_window(q), by_window(k).transpose(0, 2, 1))
     np.clip(s, -30, 30, out=s)
     np.exp(s, out=s)
     s *= _MASK
-    s /= s.sum(axis=2, keepdims=True)
-    z = np.matmul(s, v)
-    return x, q, k, v, s, z, x + z @ p["out"]
+    s /= s.reshape(-1, WINDOW).dot(_ONES).reshape(len(s), -1, 1)
+    z = np.matmul(s, by_window(v))
+    return x, q, k, v, s, z, by_window(x + z.reshape(-1, WIDTH) @ p["out"])
 
 
 def _log_softmax(logits: np.ndarray) -> np.ndarray:
@@ -75,7 +78,7 @@ def _log_softmax(logits: np.ndarray) -> np.ndarray:
 
 
 def predict(p: dict[str, np.ndarray], bias: PairBias, h: np.ndarray, before: np.ndarray, target: np.ndarray):
-    """Log shares of all classes, and of the members of each target's class."""
+    """Log shares of all classes, and of the members of each target's class, from whole logits (the plain form)."""
     cls, member = target // MEMBERS, target % MEMBERS
     logits = h @ p["classes"]
     logits += bias.classes[before]
@@ -99,6 +102,11 @@ def windows_of(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return owner, offset[owner] + nth * step, np.where(nth == 0, 0, OVERLAP)
 
 
+def n_windows(targets: int) -> int:
+    """Training windows of a text; together they have every id as a target once."""
+    return -(-targets // WINDOW)
+
+
 def _bounded(logits: np.ndarray) -> np.ndarray:
     """Only weights far outside what training reaches meet this bound; it keeps sums of exponentials finite."""
     return np.clip(logits, -60, 60, out=logits)
@@ -196,56 +204,80 @@ def token_logs(scorer: Scorer, sequences: list[np.ndarray], end: int) -> tuple[n
 def gradients(p: dict[str, np.ndarray], bias: PairBias, given: np.ndarray, target: np.ndarray, real: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss over the real places of some windows, and its gradient."""
     x, q, k, v, a, z, h = attend(p, given)
-    n = max(1, int(real.sum()))
-    flat = h[real]
-    cls, member, log_c, log_m, order, cuts = predict(p, bias, flat, given[real], target[real])
-    row = np.arange(len(flat))
-    loss = -float((log_c[row, cls] + log_m[row, member]).sum()) / n
-    dc, dm = np.exp(log_c), np.exp(log_m)
-    dc[row, cls] -= 1
-    dm[row, member] -= 1
-    dc, dm = dc / n, dm / n
+    z, h = z.reshape(-1, WIDTH), h.reshape(-1, WIDTH)
+    spots = np.flatnonzero(real)
+    cls = target.ravel()[spots] // MEMBERS
+    order = np.argsort(cls.astype(np.uint16), kind="stable")  # one product per class over its run of places
+    spots, cls = spots[order], cls[order]
+    member, before, flat = target.ravel()[spots] % MEMBERS, given.ravel()[spots], h.take(spots, axis=0)
+    n, row = max(1, len(spots)), np.arange(len(spots))
+    cuts = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
+    runs = [(c, slice(a, b)) for c, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+    dc = bias.classes.take(before, axis=0)
+    dc += _bounded(flat @ p["classes"])
+    dm = bias.members.reshape(-1, MEMBERS).take(before * CLASSES + cls, axis=0)
+    for c, run in runs:
+        dm[run] += _bounded(flat[run] @ p["members"][c])
+    loss = -float((dc[row, cls] + dm[row, member]).sum())
+    for logits, at in ((dc, cls), (dm, member)):  # shares, less one at the target
+        np.exp(logits, out=logits)
+        total = logits.dot(np.ones(logits.shape[1], np.float32))
+        loss += float(np.log(total).sum())
+        logits /= total[:, None]
+        logits[row, at] -= 1
+        logits /= n
     g = {name: np.zeros_like(value) for name, value in p.items()}
     g["classes"] = flat.T @ dc
     dflat = dc @ p["classes"].T
-    for c in range(CLASSES):
-        mine = order[cuts[c] : cuts[c + 1]]
-        if len(mine):
-            g["members"][c] = flat[mine].T @ dm[mine]
-            dflat[mine] += dm[mine] @ p["members"][c].T
+    for c, run in runs:
+        g["members"][c] = flat[run].T @ dm[run]
+        dflat[run] += dm[run] @ p["members"][c].T
     dh = np.zeros_like(h)
-    dh[real] = dflat
-    d = WIDTH
-    rows = lambda t: t.reshape(-1, d)
-    g["out"] = rows(z).T @ rows(dh)
-    dz = dh @ p["out"].T
-    da, dv = np.matmul(dz, v.transpose(0, 2, 1)), np.matmul(a.transpose(0, 2, 1), dz)
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * d**-0.5
-    dq, dk = np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q)
+    dh[spots] = dflat
+    g["out"] = z.T @ dh
+    by_window = lambda t: t.reshape(-1, WINDOW, WIDTH)
+    dz = by_window(dh @ p["out"].T)
+    dv = np.matmul(a.transpose(0, 2, 1), dz)
+    ds = np.matmul(dz, by_window(v).transpose(0, 2, 1))
+    ds -= np.einsum("bi,bi->b", z, dz.reshape(-1, WIDTH)).reshape(len(ds), -1, 1)  # each row's mean under its weights
+    ds *= a
+    dq, dk = np.matmul(ds, by_window(k)), np.matmul(ds.transpose(0, 2, 1), by_window(q))
+    dq *= WIDTH**-0.5
     dx = dh
     for name, part in (("query", dq), ("key", dk), ("value", dv)):
-        g[name] = rows(x).T @ rows(part)
-        dx = dx + part @ p[name].T
-    np.add.at(g["embed"], given.ravel(), rows(dx))
-    g["place"] = dx.sum(axis=0)
-    return loss, g
+        part = part.reshape(-1, WIDTH)
+        g[name] = x.T @ part
+        dx += part @ p[name].T
+    ids = given.ravel()
+    by_id = np.argsort(ids.astype(np.uint16), kind="stable")
+    begins = np.flatnonzero(np.diff(ids[by_id], prepend=-1))
+    g["embed"][ids[by_id[begins]]] = np.add.reduceat(dx.take(by_id, axis=0), begins, axis=0)
+    g["place"] = by_window(dx).sum(axis=0)
+    return loss / n, g
 
 
-def fit(p: dict[str, np.ndarray], bias: PairBias, windows: np.ndarray, sizes: np.ndarray, end: int, steps: int, seed: int, rate: float = 0.01, batch: int = 64) -> dict[str, np.ndarray]:
-    """Adam steps on windows (rows of WINDOW + 1 ids, the first one only given; `sizes` targets each)."""
-    rng = np.random.default_rng(seed)
-    p = {name: value.copy() for name, value in p.items()}
-    m, v = ({name: np.zeros_like(value) for name, value in p.items()} for _ in range(2))
-    order = np.zeros(0, np.int64)
-    for step in range(1, steps + 1):
-        if len(order) < min(batch, len(windows)):
-            order = rng.permutation(len(windows))
-        mine, order = order[:batch], order[batch:]
-        real = np.arange(WINDOW) < sizes[mine, None]
-        _, g = gradients(p, bias, windows[mine, :-1], windows[mine, 1:], real)
-        speed = rate * (1 - 0.99**step) ** 0.5 / (1 - 0.9**step) * (1 - 0.7 * step / steps)
-        for name in NAMES:
-            m[name] = 0.9 * m[name] + 0.1 * g[name]
-            v[name] = 0.99 * v[name] + 0.01 * g[name] ** 2
-            p[name] -= speed * m[name] / (np.sqrt(v[name]) + 1e-8)
-    return p
+class Fitter:
+    """Adam steps on windows (rows of WINDOW + 1 ids, the first one only given; `sizes` targets each), taken block by block.
+
+    `steps`: about how many are to come, over which the rate falls.
+    """
+
+    def __init__(self, p: dict[str, np.ndarray], bias: PairBias, steps: int, rate: float = 0.01):
+        self.params = {name: value.copy() for name, value in p.items()}
+        self.bias, self.steps, self.rate, self.step = bias, steps, rate, 0
+        self.m, self.v = ({name: np.zeros_like(value) for name, value in p.items()} for _ in range(2))
+
+    def take(self, windows: np.ndarray, sizes: np.ndarray, seed: int) -> None:
+        """One pass over a block of windows, in an order that the seed tells."""
+        order = np.random.default_rng(seed).permutation(len(windows))
+        for at in range(0, len(order), FIT_BATCH):
+            mine = order[at : at + FIT_BATCH]
+            ids = windows[mine].astype(np.int64)
+            real = np.arange(WINDOW) < sizes[mine, None]
+            _, g = gradients(self.params, self.bias, ids[:, :-1], ids[:, 1:], real)
+            self.step += 1
+            speed = self.rate * (1 - 0.99**self.step) ** 0.5 / (1 - 0.9**self.step) * (1 - 0.7 * min(1, self.step / self.steps))
+            for name in NAMES:
+                self.m[name] = 0.9 * self.m[name] + 0.1 * g[name]
+                self.v[name] = 0.99 * self.v[name] + 0.01 * g[name] ** 2
+                self.params[name] -= speed * self.m[name] / (np.sqrt(self.v[name]) + 1e-8)

@@ -3,7 +3,8 @@
 The word model is counted over all training texts. The attention model (see attention.py) reads subword ids of a
 public vocabulary, reduced to the ids that are most frequent in the training words; a rarer id is spelled by the ids
 of its bytes. All statistics it starts from (ids, pairs of ids) are counts over every training word, and its weights
-are fitted in rounds by all tasks on one window of every training text; after a round the weights are averaged.
+are fitted in rounds by all tasks on windows that together hold every id of every training text; after a round the
+weights are averaged.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ FOLD = 7
 COMMON_WORDS = 100_000
 # Weight of the words' shares beside the attention model.
 WORD_SHARE = 0.3
-ROUNDS, LEAST_STEPS, AVERAGED_AT_ONCE = 3, 120, 16
+ROUNDS, AVERAGED_AT_ONCE = 3, 16
 
 
 def held_out(doc_id: Column) -> Column:
@@ -211,53 +212,75 @@ def pair_statistics(counts: DataFrame, subwords: Subwords, texts: int) -> np.nda
     return pairs
 
 
-def training_windows(train: DataFrame, subwords: Subwords) -> DataFrame:
-    """One window of every training text, at a place that its id and length decide."""
+def training_ids(train: DataFrame, subwords: Subwords) -> DataFrame:
+    """The ids of every whole training text, between two ends, and the number of its windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Lexicon(subwords, {})
+        end = np.array([subwords.end], "<i2").tobytes()
         for batch in batches:
-            parts = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                words = words_of(text.as_py())
-                at = zlib.crc32(f"{doc_id}/{len(words)}".encode()) % max(1, len(words) - A.WINDOW // 2)
-                parts.append((words[max(0, at - 1) : at + A.WINDOW], at, len(words)))
-            numbers = known.numbers([word for words, _, _ in parts for word in words])
-            rows = []
-            for own, (_, at, n) in zip(np.split(numbers, np.cumsum([len(words) for words, _, _ in parts])), parts):
-                ids = known.sequence(own)
-                if at == 0:
-                    ids = np.append(subwords.end, ids)
-                if at + A.WINDOW >= n:
-                    ids = np.append(ids, subwords.end)
-                ids = ids[: A.WINDOW + 1]
-                rows.append((np.append(ids, np.full(A.WINDOW + 1 - len(ids), subwords.end)).astype("<i2").tobytes(), len(ids) - 1))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int32())], names=["ids", "size"])
-
-    return train.select("doc_id", "text").mapInArrow(run, "ids binary, size int")
-
-
-def fit(windows: DataFrame, bias: A.PairBias, end: int, rounds: int = ROUNDS) -> np.ndarray:
+            texts = batch.column("text")
+            at = 0
+            while at < len(texts):
+                flat_words, n_words = [], []
+                while at < len(texts) and len(flat_words) < 300_000:
+                    words = words_of(texts[at].as_py())
+                    flat_words += words
+                    n_words.append(len(words))
+                    at += 1
+                number = known.numbers(flat_words)
+                ids = known.sequence(number).astype("<i2").tobytes()
+                upto = np.append(0, 2 * np.cumsum(known.sizes[number]))[np.append(0, np.cumsum(n_words))].tolist()
+                rows = [end + ids[a:b] + end for a, b in zip(upto, upto[1:])]
+                counts = [A.n_windows(len(row) // 2 - 1) for row in rows]
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(counts, pa.int64())], names=["ids", "windows"])
+
+    return train.select("text").mapInArrow(run, "ids binary, windows bigint")
+
+
+def _windows(rows: Iterator[pa.RecordBatch], end: int, turn: int, rounds: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The windows whose turn it is, about `most` at once, with their numbers of targets. In all turns together each id is a target once."""
+    held, n, seen = [], 0, 0
+    for batch in rows:
+        for found in batch.column("ids"):
+            ids = np.frombuffer(found.as_buffer(), "<i2")
+            begins = np.arange(A.n_windows(len(ids) - 1)) * A.WINDOW
+            mine = begins[(turn - seen) % rounds :: rounds]
+            seen += len(begins)
+            if len(mine):
+                places = mine[:, None] + np.arange(A.WINDOW + 1)
+                held.append((np.where(places < len(ids), ids[np.minimum(places, len(ids) - 1)], end), np.minimum(len(ids) - 1 - mine, A.WINDOW)))
+                n += len(mine)
+            if n >= most:
+                yield tuple(np.concatenate(part) for part in zip(*held))
+                held, n = [], 0
+    if held:
+        yield tuple(np.concatenate(part) for part in zip(*held))
+
+
+def fit(texts: DataFrame, bias: A.PairBias, end: int, rounds: int = ROUNDS) -> np.ndarray:
     """Weights after rounds in which every task fits its own windows; between rounds the weights are averaged.
 
+    All rounds together are one pass over all windows: a window has its turn in one of them. A task holds a bounded number of them.
+
     Averaging is done by tasks, a few at a time, until so few rows are left that the driver takes them.
     """
-    context = windows.sparkSession.sparkContext
+    context = texts.sparkSession.sparkContext
     flat = A.pack(A.initial())
     shared_bias = context.broadcast(bias)  # IDS squared numbers, whatever the input
-    parts = windows.rdd.getNumPartitions()
+    parts = texts.rdd.getNumPartitions()
+    windows = texts.agg(F.coalesce(F.sum("windows"), F.lit(0))).first()[0]
+    steps = max(1, windows // (max(1, parts) * rounds * A.FIT_BATCH))  # about as many in a task and round
 
-    def local(start):
+    def local(start, turn):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = [b for b in batches if b.num_rows]
-            if held:
-                table = pa.Table.from_batches(held)
-                ids = np.frombuffer(b"".join(table.column("ids").to_pylist()), "<i2").reshape(-1, A.WINDOW + 1).astype(np.int64)
-                sizes = table.column("size").to_numpy()
-                once = -(-len(ids) // 64)
-                steps = max(once, min(LEAST_STEPS, 3 * once))
-                fitted = A.pack(A.fit(A.unpack(start.value), shared_bias.value, ids, sizes, end, steps, seed=zlib.crc32(ids[:8].tobytes())))
-                yield pa.RecordBatch.from_arrays([pa.array([fitted.astype("<f8").tobytes()], pa.binary()), pa.array([float(len(ids))])], names=["sums", "n"])
+            fitter, n = A.Fitter(A.unpack(start.value), shared_bias.value, steps), 0
+            for ids, sizes in _windows(batches, end, turn, rounds, A.FIT_BATCH * 32):
+                fitter.take(ids, sizes, seed=zlib.crc32(ids[:8].tobytes()))
+                n += len(ids)
+            if n:
+                fitted = A.pack(fitter.params)
+                yield pa.RecordBatch.from_arrays([pa.array([fitted.astype("<f8").tobytes()], pa.binary()), pa.array([float(n)])], names=["sums", "n"])
 
         return run
 
@@ -270,8 +293,8 @@ def fit(windows: DataFrame, bias: A.PairBias, end: int, rounds: int = ROUNDS) ->
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([(total / n).tobytes()], pa.binary()), pa.array([n])], names=["sums", "n"])
 
-    for _ in range(rounds):
-        rows = windows.mapInArrow(local(context.broadcast(flat)), "sums binary, n double")
+    for turn in range(rounds):
+        rows = texts.select("ids").mapInArrow(local(context.broadcast(flat), turn), "sums binary, n double")
         left = parts
         while left > AVERAGED_AT_ONCE:
             left = -(-left // AVERAGED_AT_ONCE)
@@ -370,7 +393,7 @@ def score_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     subwords = reduced_vocabulary(counts, vocabulary)
     bias = A.PairBias(pair_statistics(counts, subwords, texts))
-    flat = fit(stage(training_windows(train, subwords), "windows"), bias, subwords.end)
+    flat = fit(stage(training_ids(train, subwords), "training-ids"), bias, subwords.end)
     scored = stage(_scored(rows, subwords, flat, bias, common, texts, train_tokens), "scored")
 
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "rare_own")).alias("_r")).select("row", F.col("_r.rare").alias("word"), F.col("_r.rare_own").alias("own"))
