@@ -5,9 +5,13 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 # Patterns by which the two public vocabularies cut texts into words (fixed values); letters and digits stand for their classes.
@@ -16,8 +20,16 @@ _WORDS_BEGUN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\
 # The same for texts of ASCII characters only, where the plain module is faster.
 _ASCII_ENDED = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z]+|[0-9]|[^\sA-Za-z0-9]+")
 _ASCII_BEGUN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+")
+# The second vocabulary begins a word at every space before something visible, whatever stands around it: parts between such places
+# are encoded by themselves. Texts with other spaces are cut by the second pattern.
+_GLUED = re.compile(r" (?=\s|$)")
+_PART = re.compile(r" (?=\S)")
+# A part's letters before an ASCII character that is no letter are a word of their own (ranges whose characters are letters everywhere).
+_WORD_AND_TAIL = r"(?s)^(?P<word>[A-Za-zÀ-ÖØ-öø-ɏЀ-ҁҊ-ԯ]+)(?P<tail>[\x00-\x40\x5b-\x60\x7b-\x7f].*)$"
 # Texts with these are encoded whole: strings of special tokens, characters that two libraries may class or lower differently.
 _UNSURE = re.compile("<\\||[\x1c-\x1f\x85᠎​﻿Σ\U00010000-\U0010ffff]")
+# Texts whose white space two libraries may tell apart differently.
+_UNSURE_SPACES = re.compile("<\\||[\x1c-\x1f\x85᠎​﻿]")
 
 
 class WordEncoder:
@@ -93,6 +105,102 @@ class WordEncoder:
         return out
 
 
+class PartEncoder:
+    """Ids of many texts given at once, as little-endian unsigned 32-bit bytes.
+
+    Texts are cut at spaces. The distinct words that begin the parts between spaces are encoded together, what follows in a
+    part likewise, and the ids are laid out from there, so nothing is kept between calls. Parts that are not plain words, and
+    the first part of a text where words begin with the space before them, are encoded one by one.
+    """
+
+    AT_ONCE = 256
+
+    def __init__(self, words: WordEncoder):
+        self.encode, self.plain, self.marks, self.size = words.tokenizer.encode_batch_fast, words._plain, words.marks, words.size
+        self.by_end = words.by_end
+
+    def _alone(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(found.ids, np.uint32) for found in self.encode(texts, add_special_tokens=False)] if texts else []
+
+    def _plain_words(self, words: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+        """Ids of words in the middle of a text, laid end to end, and how many each has."""
+        before = "" if self.by_end else " "
+        ids, sizes = [], []
+        for at in range(0, len(words), self.AT_ONCE):
+            some = words[at : at + self.AT_ONCE]
+            found = self._alone([before + " ".join(some)])[0]
+            marked = np.flatnonzero(self.marks[found])
+            cuts = np.append(0, marked + 1) if self.by_end else np.append(marked, len(found))
+            if len(cuts) == len(some) + 1 and not cuts[0] and cuts[-1] == len(found):
+                ids.append(found)
+                sizes.append(np.diff(cuts))
+            else:
+                single = self._alone([before + word for word in some])
+                ids += single
+                sizes.append(np.array([len(x) for x in single]))
+        return ids, np.concatenate([*sizes, np.zeros(0, np.int64)])
+
+    def _cut(self, texts: list[str], out: list) -> tuple[list[int], np.ndarray, pa.Array]:
+        """Which texts are cut into parts, how many each has, and all parts. Texts that cannot be cut are encoded here."""
+        cut, glued, held = [], [], []
+        for n, text in enumerate(texts):
+            if (_UNSURE if self.by_end else _UNSURE_SPACES).search(text):
+                out[n] = self.plain(text)
+            elif self.by_end:  # this vocabulary composes characters and drops case
+                cut.append(n)
+                held.append(text.lower() if text.isascii() else unicodedata.normalize("NFC", text).lower())
+            elif _GLUED.search(text):
+                glued.append(n)
+            else:
+                cut.append(n)
+                held.append(text)
+        held = pa.array(held, pa.large_string())
+        lists = [pc.utf8_split_whitespace(held) if self.by_end else pc.split_pattern(held, " "), pa.array([_PART.split(texts[n]) for n in glued], pa.large_list(pa.large_string()))]
+        sizes = np.concatenate([pc.list_value_length(some).to_numpy() for some in lists]).astype(np.int64)
+        return cut + glued, sizes, pa.concat_arrays([some.flatten() for some in lists])
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes | None] = [None] * len(texts)
+        cut, sizes, every = self._cut(texts, out)
+        if not cut:
+            return out
+        first = np.cumsum(sizes) - sizes
+        begins = [] if self.by_end else self._alone(every.take(pa.array(first)).to_pylist())
+        coded = every.dictionary_encode()
+        found = pc.extract_regex(coded.dictionary, _WORD_AND_TAIL)
+        tailed = found.is_valid()
+        words = pc.if_else(tailed, found.field("word"), coded.dictionary).dictionary_encode()
+        tails = pc.if_else(tailed, found.field("tail"), "").dictionary_encode()
+        listed = words.dictionary.to_pylist()
+        regular = np.array([len(w) < 200 and (w.isalpha() if self.by_end else " " not in w) for w in listed], bool)
+        ids, length = self._plain_words(list(compress(listed, regular)))
+        before = "" if self.by_end else " "
+        others = [before + word for word in compress(listed, ~regular)]
+        # ids of words, then of tails, then of what texts begin with; each occurrence of a part is a word and a tail
+        others = [*self._alone(others), *self._alone(tails.dictionary.to_pylist()), *begins]
+        length = np.concatenate([length, np.array([len(x) for x in others], np.int64)])
+        place = np.cumsum(length) - length
+        ids = np.concatenate([*ids, *others])
+        n_words, n_tails = len(listed), len(tails.dictionary)
+        numbers = np.empty(n_words, np.int64)
+        numbers[np.append(np.flatnonzero(regular), np.flatnonzero(~regular))] = np.arange(n_words)
+        pairs = np.column_stack([numbers[words.indices.to_numpy()], tails.indices.to_numpy() + n_words])[coded.indices.to_numpy()]
+        if not self.by_end:
+            pairs[first, 0] = n_words + n_tails + np.arange(len(first))
+        pairs = pairs.ravel()
+        place, length = place[pairs], length[pairs]
+        if not self.by_end:
+            length[2 * first + 1] = 0
+        upto = np.cumsum(length)
+        places = np.repeat(place - (upto - length), length)
+        places += np.arange(len(places))
+        held = ids[places].tobytes()
+        ends = (4 * upto[2 * (first + sizes) - 1]).tolist()
+        for n, a, b in zip(cut, [0, *ends], ends):
+            out[n] = held[a:b]
+        return out
+
+
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -103,16 +211,21 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def groups_of(texts: list, size: int = 2_000_000):
-    """Slices of a list of texts that hold about so many characters, at least one text each."""
-    begin = held = 0
-    for n, text in enumerate(texts):
-        held += len(text)
-        if held >= size:
-            yield slice(begin, n + 1)
-            begin, held = n + 1, 0
-    if begin < len(texts):
-        yield slice(begin, len(texts))
+def text_encoder(path: str) -> PartEncoder:
+    """The encoder for many whole texts."""
+    return PartEncoder(encoder(path))
+
+
+def text_groups(batch: pa.RecordBatch, size: int) -> Iterator[tuple[slice, list[str]]]:
+    """Places of a batch's rows, and their texts (null: empty), that hold about so many characters together, at least one text each."""
+    column = batch.column("text")
+    begin, held, texts = 0, 0, []
+    for n, text in enumerate(column):
+        texts.append(text.as_py() or "")
+        held += len(texts[-1])
+        if held >= size or n + 1 == len(column):
+            yield slice(begin, n + 1), texts
+            begin, held, texts = n + 1, 0, []
 
 
 def _bytes_of_letters() -> dict[str, int]:

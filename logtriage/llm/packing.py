@@ -20,9 +20,11 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from logtriage.llm.common import stage, with_fields
-from logtriage.llm.encoding import encoder, groups_of
+from logtriage.llm.encoding import text_encoder, text_groups
 
 RANK_BUCKETS = 256
+# Texts encoded together; their distinct words are encoded once.
+GROUP_CHARS = 8_000_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary"
 
 
@@ -36,13 +38,12 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, w
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], "<u4").tobytes()
         size = 4 * capacity
-        encode = encoder(vocabulary).encode_many
+        encode = text_encoder(vocabulary).encode_many
         for batch in batches:
-            texts = [text or "" for text in batch.column("text").to_pylist()]
             numbers = batch.column("doc_id").to_pylist()
-            for part in groups_of(texts):
+            for part, texts in text_groups(batch, GROUP_CHARS):
                 rows = []
-                for doc_id, ids in zip(numbers[part], encode(texts[part])):
+                for doc_id, ids in zip(numbers[part], encode(texts)):
                     ids += end
                     for piece, at in enumerate(range(0, len(ids), size)):
                         held = ids[at : at + size]

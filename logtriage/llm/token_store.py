@@ -25,10 +25,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtriage.llm.encoding import encoder, groups_of
+from logtriage.llm.encoding import text_encoder, text_groups
 
 SHARD_IDS = 4_000_000
 BUCKET_KEYS = 4
+# Texts encoded together; their distinct parts are encoded once.
+GROUP_CHARS = 12_000_000
 _FIELDS = pa.schema(
     [
         ("part", pa.int32()), ("seq", pa.int32()), ("first_key", pa.int64()), ("last_key", pa.int64()), ("n_rows", pa.int64()), ("n_keyless", pa.int64()),
@@ -122,14 +124,13 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, sh
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, held, keys, ids = TaskContext.get().partitionId(), 0, 0, [], []
-        tool = encoder(vocabulary)
+        tool = text_encoder(vocabulary)
         width = 2 if max(tool.size - 1, end_id) < 1 << 16 else 4
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            texts = [text or "" for text in batch.column("text").to_pylist()]
             numbers = batch.column("doc_id").to_pylist()
-            for some in groups_of(texts):
-                for key, found in zip(numbers[some], tool.encode_many(texts[some])):
+            for some, texts in text_groups(batch, GROUP_CHARS):
+                for key, found in zip(numbers[some], tool.encode_many(texts)):
                     if held and held + len(found) // 4 >= shard_ids:
                         yield _shard(part, seq, keys, ids, width)
                         seq, held, keys, ids = seq + 1, 0, [], []
