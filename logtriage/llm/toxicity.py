@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -62,13 +62,13 @@ class Model:
     bias: np.ndarray
     prior: float
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
+    def scores(self, texts: Iterable[str | None]) -> np.ndarray:
         """Mean probability of the positive class; a text without words gets what the biases say."""
-        out = np.empty(len(texts))
-        for n, text in enumerate(texts):
+        out = []
+        for text in texts:
             z = self.bias + self.weights[:, features(text)].sum(axis=1)
-            out[n] = (1 / (1 + np.exp(-np.clip(z, -30, 30)))).mean()
-        return out
+            out.append((1 / (1 + np.exp(-np.clip(z, -30, 30)))).mean())
+        return np.array(out, np.float64)
 
 
 def _rows(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +134,7 @@ def _feature_rows(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.array(sorted(features(t)), "<i4").tobytes() for t in batch.column("text").to_pylist()]
+            found = [np.array(sorted(features(t)), "<i4").tobytes() for t in (text.as_py() for text in batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], names=["doc_id", "slots"])
 
     # about MAX_... ids of 8 bytes each, so the broadcast is bounded
@@ -193,6 +193,6 @@ def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        return pa.array(shared.value.scores(texts.to_pylist()))
+        return pa.array(shared.value.scores(text.as_py() for text in texts))
 
     return docs.withColumn(name, score(F.col("text")))
