@@ -56,19 +56,56 @@ class PairBias:
         self.members = np.log(grouped / by_class[:, :, None]).astype(np.float32)
 
 
-def attend(p: dict[str, np.ndarray], given: np.ndarray) -> tuple:
+class Room:
+    """Memory for the large arrays of a step, used again by the next one: fresh pages cost as much as the work on them."""
+
+    def __init__(self):
+        self.held: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, shape: tuple[int, ...], dtype) -> np.ndarray:
+        """An array with any content, good until the name is asked for again."""
+        size = int(np.prod(shape))
+        held = self.held.get(name)
+        if held is None or held.size < size or held.dtype != dtype:
+            held = self.held[name] = np.empty(size, dtype)
+        return held[:size].reshape(shape)
+
+    def rows(self, name: str, table: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Rows of a table; the places are known to be inside it."""
+        return table.take(places, axis=0, out=self(name, (*places.shape, table.shape[1]), table.dtype), mode="clip")
+
+    def dot(self, name: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.dot(a, b, out=self(name, (len(a), b.shape[1]), a.dtype))
+
+    def products(self, name: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """One product a window."""
+        return np.matmul(a, b, out=self(name, (len(a), a.shape[1], b.shape[2]), a.dtype))
+
+    def across(self, t: np.ndarray) -> np.ndarray:
+        """Each window's rows as columns; small products take whole rows faster."""
+        out = self("across", (len(t), t.shape[2], t.shape[1]), t.dtype)
+        out[...] = t.transpose(0, 2, 1)
+        return out
+
+
+def attend(p: dict[str, np.ndarray], given: np.ndarray, room: Room | None = None) -> tuple:
     """Inputs, queries (scaled), keys, values, laid end to end; weights, attended values and states by window."""
-    x = (p["embed"].take(given, axis=0) + p["place"]).reshape(-1, WIDTH)
-    q, k, v = x @ p["query"], x @ p["key"], x @ p["value"]
+    room = room or Room()
+    x = room.rows("x", p["embed"], given)
+    x += p["place"]
+    x = x.reshape(-1, WIDTH)
+    q, k, v = (room.dot(name, x, p[name]) for name in ("query", "key", "value"))
     q *= WIDTH**-0.5
     by_window = lambda t: t.reshape(-1, WINDOW, WIDTH)
-    s = np.matmul(by_window(q), by_window(k).transpose(0, 2, 1))
+    s = room.products("shares", by_window(q), room.across(by_window(k)))
     np.clip(s, -30, 30, out=s)
     np.exp(s, out=s)
     s *= _MASK
     s /= s.reshape(-1, WINDOW).dot(_ONES).reshape(len(s), -1, 1)
-    z = np.matmul(s, by_window(v))
-    return x, q, k, v, s, z, by_window(x + z.reshape(-1, WIDTH) @ p["out"])
+    z = room.products("attended", s, by_window(v))
+    h = room.dot("states", z.reshape(-1, WIDTH), p["out"])
+    h += x
+    return x, q, k, v, s, z, by_window(h)
 
 
 def _log_softmax(logits: np.ndarray) -> np.ndarray:
@@ -124,7 +161,8 @@ class Scorer:
         parts = lambda table: np.concatenate([table, table @ asked, table @ mixed], axis=1)
         self.ids, self.places = parts(p["embed"]), parts(p["place"])
         self.class_weights, self.member_weights = p["classes"], p["members"]
-        self.class_bias, self.member_bias = bias.classes, bias.members.reshape(-1, MEMBERS)
+        self.class_bias = bias.classes
+        self.member_bias = np.ascontiguousarray(bias.members.transpose(1, 0, 2)).reshape(-1, MEMBERS)  # a class's rows together
         self.sums = np.ones((CLASSES, 2), np.float32)
         self.sums[begin_classes:, 1] = 0
         self.ones = np.ones(MEMBERS, np.float32)
@@ -134,7 +172,7 @@ class Scorer:
         x = self.ids.take(given, axis=0)
         x += self.places
         own, asked, value = x[:, first:, :WIDTH], x[:, first:, WIDTH : 2 * WIDTH], x[:, :, 2 * WIDTH :]
-        s = np.matmul(asked, x[:, :, :WIDTH].transpose(0, 2, 1))
+        s = np.matmul(asked, np.ascontiguousarray(x[:, :, :WIDTH].transpose(0, 2, 1)))
         np.clip(s, -30, 30, out=s)
         np.exp(s, out=s)
         s *= _MASK[first:]
@@ -150,7 +188,7 @@ class Scorer:
         h, before, target, cls = h.take(order, axis=0), before[order], target[order], cls[order]
         outer = self.class_bias.take(before, axis=0)
         outer += _bounded(h @ self.class_weights)
-        inner = self.member_bias.take(before * CLASSES + cls, axis=0)
+        inner = self.member_bias.take(cls * IDS + before, axis=0)
         cuts = np.searchsorted(cls, np.arange(CLASSES + 1))
         for c in range(CLASSES):
             run = slice(cuts[c], cuts[c + 1])
@@ -201,57 +239,65 @@ def token_logs(scorer: Scorer, sequences: list[np.ndarray], end: int) -> tuple[n
     return out, begun
 
 
-def gradients(p: dict[str, np.ndarray], bias: PairBias, given: np.ndarray, target: np.ndarray, real: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss over the real places of some windows, and its gradient."""
-    x, q, k, v, a, z, h = attend(p, given)
+def gradients(p: dict[str, np.ndarray], bias: PairBias, given: np.ndarray, target: np.ndarray, real: np.ndarray, room: Room | None = None) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean loss over the real places of some windows (not counted where a room is given), and its gradient."""
+    with_loss, room = room is None, room or Room()
+    x, q, k, v, a, z, h = attend(p, given, room)
     z, h = z.reshape(-1, WIDTH), h.reshape(-1, WIDTH)
     spots = np.flatnonzero(real)
     cls = target.ravel()[spots] // MEMBERS
     order = np.argsort(cls.astype(np.uint16), kind="stable")  # one product per class over its run of places
     spots, cls = spots[order], cls[order]
-    member, before, flat = target.ravel()[spots] % MEMBERS, given.ravel()[spots], h.take(spots, axis=0)
+    member, before, flat = target.ravel()[spots] % MEMBERS, given.ravel()[spots], room.rows("sorted", h, spots)
     n, row = max(1, len(spots)), np.arange(len(spots))
     cuts = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
     runs = [(c, slice(a, b)) for c, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
-    dc = bias.classes.take(before, axis=0)
-    dc += _bounded(flat @ p["classes"])
-    dm = bias.members.reshape(-1, MEMBERS).take(before * CLASSES + cls, axis=0)
+    dc = _bounded(room.dot("outer", flat, p["classes"]))
+    dc += room.rows("bias", bias.classes, before)
+    dm = room("inner", (len(flat), MEMBERS), flat.dtype)
     for c, run in runs:
-        dm[run] += _bounded(flat[run] @ p["members"][c])
-    loss = -float((dc[row, cls] + dm[row, member]).sum())
+        np.dot(flat[run], p["members"][c], out=dm[run])
+    _bounded(dm)
+    dm += room.rows("bias", bias.members.reshape(-1, MEMBERS), before * CLASSES + cls)
+    loss = -float((dc[row, cls] + dm[row, member]).sum()) if with_loss else 0.0
     for logits, at in ((dc, cls), (dm, member)):  # shares, less one at the target
         np.exp(logits, out=logits)
         total = logits.dot(np.ones(logits.shape[1], np.float32))
-        loss += float(np.log(total).sum())
+        if with_loss:
+            loss += float(np.log(total).sum())
         logits /= total[:, None]
         logits[row, at] -= 1
         logits /= n
     g = {name: np.zeros_like(value) for name, value in p.items()}
     g["classes"] = flat.T @ dc
-    dflat = dc @ p["classes"].T
+    dflat = room.dot("back", dc, p["classes"].T)
+    inner = room("inner back", flat.shape, flat.dtype)
     for c, run in runs:
-        g["members"][c] = flat[run].T @ dm[run]
-        dflat[run] += dm[run] @ p["members"][c].T
-    dh = np.zeros_like(h)
+        np.dot(flat[run].T, dm[run], out=g["members"][c])
+        np.dot(dm[run], p["members"][c].T, out=inner[run])
+    dflat += inner
+    dh = room("states back", h.shape, h.dtype)
+    dh[...] = 0
     dh[spots] = dflat
     g["out"] = z.T @ dh
     by_window = lambda t: t.reshape(-1, WINDOW, WIDTH)
-    dz = by_window(dh @ p["out"].T)
-    dv = np.matmul(a.transpose(0, 2, 1), dz)
-    ds = np.matmul(dz, by_window(v).transpose(0, 2, 1))
+    dz = by_window(room.dot("back", dh, p["out"].T))
+    dv = room.products("value back", a.transpose(0, 2, 1), dz)
+    ds = room.products("shares back", dz, room.across(by_window(v)))
     ds -= np.einsum("bi,bi->b", z, dz.reshape(-1, WIDTH)).reshape(len(ds), -1, 1)  # each row's mean under its weights
     ds *= a
-    dq, dk = np.matmul(ds, by_window(k)), np.matmul(ds.transpose(0, 2, 1), by_window(q))
+    dq, dk = room.products("query back", ds, by_window(k)), room.products("key back", ds.transpose(0, 2, 1), by_window(q))
     dq *= WIDTH**-0.5
     dx = dh
     for name, part in (("query", dq), ("key", dk), ("value", dv)):
         part = part.reshape(-1, WIDTH)
         g[name] = x.T @ part
-        dx += part @ p[name].T
-    ids = given.ravel()
-    by_id = np.argsort(ids.astype(np.uint16), kind="stable")
-    begins = np.flatnonzero(np.diff(ids[by_id], prepend=-1))
-    g["embed"][ids[by_id[begins]]] = np.add.reduceat(dx.take(by_id, axis=0), begins, axis=0)
+        dx += room.dot("back", part, p[name].T)
+    ids = given.ravel().astype(np.uint16)
+    by_id = np.argsort(ids, kind="stable")
+    ids = ids[by_id]
+    begins = np.append(0, np.flatnonzero(ids[1:] != ids[:-1]) + 1)
+    g["embed"][ids[begins]] = np.add.reduceat(room.rows("sorted", dx, by_id), begins, axis=0)
     g["place"] = by_window(dx).sum(axis=0)
     return loss / n, g
 
@@ -263,9 +309,11 @@ class Fitter:
     """
 
     def __init__(self, p: dict[str, np.ndarray], bias: PairBias, steps: int, rate: float = 0.01):
-        self.params = {name: value.copy() for name, value in p.items()}
+        self.flat = pack(p)
+        self.params = unpack(self.flat)  # parts of the same memory
         self.bias, self.steps, self.rate, self.step = bias, steps, rate, 0
-        self.m, self.v = ({name: np.zeros_like(value) for name, value in p.items()} for _ in range(2))
+        self.m, self.v = np.zeros_like(self.flat), np.zeros_like(self.flat)
+        self.room = Room()
 
     def take(self, windows: np.ndarray, sizes: np.ndarray, seed: int) -> None:
         """One pass over a block of windows, in an order that the seed tells."""
@@ -274,10 +322,9 @@ class Fitter:
             mine = order[at : at + FIT_BATCH]
             ids = windows[mine].astype(np.int64)
             real = np.arange(WINDOW) < sizes[mine, None]
-            _, g = gradients(self.params, self.bias, ids[:, :-1], ids[:, 1:], real)
+            g = pack(gradients(self.params, self.bias, ids[:, :-1], ids[:, 1:], real, self.room)[1])
             self.step += 1
             speed = self.rate * (1 - 0.99**self.step) ** 0.5 / (1 - 0.9**self.step) * (1 - 0.7 * min(1, self.step / self.steps))
-            for name in NAMES:
-                self.m[name] = 0.9 * self.m[name] + 0.1 * g[name]
-                self.v[name] = 0.99 * self.v[name] + 0.01 * g[name] ** 2
-                self.params[name] -= speed * self.m[name] / (np.sqrt(self.v[name]) + 1e-8)
+            self.m = 0.9 * self.m + 0.1 * g
+            self.v = 0.99 * self.v + 0.01 * g**2
+            self.flat -= speed * self.m / (np.sqrt(self.v) + 1e-8)

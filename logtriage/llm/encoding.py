@@ -258,12 +258,22 @@ class WordIds:
 
     def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words laid end to end, and how many each word has."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        if len(words) and sizes.max() <= self.LONGEST:
+            try:
+                return self._cut(b" ".join([b"", *words]).decode(), sizes)
+            except UnicodeDecodeError:
+                pass
         texts = [" " + word.decode("utf-8", "replace") for word in words]
         long = [n for n, text in enumerate(texts) if len(text) > self.LONGEST]
         if long:
             return self._with_long(words, texts, long)
-        ids = np.array(self.encoding.encode_ordinary("".join(texts)), np.int64)
-        upto = np.cumsum([len(text) if text.isascii() else len(text.encode()) for text in texts])
+        return self._cut("".join(texts), np.array([len(text.encode()) for text in texts], np.int64))
+
+    def _cut(self, joined: str, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words laid end to end, each behind its space, and how many each has, from their sizes in bytes."""
+        ids = np.array(self.encoding.encode_ordinary(joined), np.int64)
+        upto = np.cumsum(sizes)
         ends = np.searchsorted(np.cumsum(self.width[ids]), upto) + 1 if len(ids) else np.zeros(0, np.int64)
         return ids, np.diff(ends, prepend=0)
 

@@ -11,12 +11,13 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,8 @@ COMMON_WORDS = 100_000
 # Weight of the words' shares beside the attention model.
 WORD_SHARE = 0.3
 ROUNDS, AVERAGED_AT_ONCE = 3, 16
+# Bytes of text whose words are taken together. No result depends on them.
+COUNTED_AT_ONCE, READ_AT_ONCE = 16_000_000, 2_000_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -37,26 +40,39 @@ def held_out(doc_id: Column) -> Column:
 
 
 def words_of(text: str | None) -> list[bytes]:
+    """The words of one text (the plain form)."""
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def _groups(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """Runs of a batch's rows whose texts have about `most` bytes together at most, at least one row each."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(upto):
+        before = upto[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(upto, before + most, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
+def _words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """How many words each text has (null: none), and all words laid end to end."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    every = pc.list_flatten(lists)
+    real = pc.not_equal(pc.binary_length(every), 0)  # white space at either end of a text leaves an empty word
+    upto = np.append(0, np.cumsum(real.to_numpy(zero_copy_only=False)))
+    ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False), dtype=np.int64)
+    return np.diff(upto[ends], prepend=0), every.filter(real).cast(pa.binary())
+
+
 def word_counts(train: DataFrame) -> DataFrame:
     """(word, n) over all whole texts: counted inside tasks first, then summed by word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-
-        def emit():
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
-
         for batch in batches:
-            for text in batch.column("text"):
-                held.update(words_of(text.as_py()))
-                if len(held) > 400_000:
-                    yield emit()
-                    held.clear()
-        if held:
-            yield emit()
+            for some in _groups(batch, COUNTED_AT_ONCE):
+                found = pc.value_counts(_words(some.column("text"))[1])
+                yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], names=["word", "n"])
 
     return train.select("text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -117,21 +133,29 @@ class Lexicon:
         self.begins = np.zeros(0, np.int64)
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
-        """A number for each word; holds until the next call."""
+        """A number for each of some different words; holds until the next call."""
         if len(self.words) > self.most:
             self.clear()
-        new = list(set(words).difference(self.number))
-        if new:
-            self.number.update(zip(new, range(len(self.words), len(self.words) + len(new))))
+        found = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+        fresh = np.flatnonzero(found < 0)
+        if len(fresh):
+            new = [words[n] for n in fresh.tolist()]
+            found[fresh] = np.arange(len(self.words), len(self.words) + len(new))
+            self.number.update(zip(new, found[fresh].tolist()))
             ids, sizes = self.subwords.of(new)
             self.words += new
             self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
-            self.counts = np.concatenate([self.counts, np.fromiter((self.usual.get(word, 0) for word in new), np.int64, len(new))])
+            self.counts = np.concatenate([self.counts, np.fromiter(map(self.usual.get, new, repeat(0)), np.int64, len(new))])
             self.begins = np.cumsum(self.sizes) - self.sizes
-        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        return found
+
+    def all_numbers(self, words: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
+        """A number for each word, and the words coded by the different ones."""
+        coded = words.dictionary_encode()
+        return self.numbers(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()], coded
 
     def sequence(self, numbers: np.ndarray) -> np.ndarray:
-        return _runs(self.ids, self.begins[numbers], self.sizes[numbers]).astype(np.int64)
+        return _runs(self.ids, self.begins[numbers], self.sizes[numbers])
 
 
 def _summed(counts: DataFrame, size: int, cells) -> np.ndarray:
@@ -219,17 +243,10 @@ def training_ids(train: DataFrame, subwords: Subwords) -> DataFrame:
         known = Lexicon(subwords, {})
         end = np.array([subwords.end], "<i2").tobytes()
         for batch in batches:
-            texts = batch.column("text")
-            at = 0
-            while at < len(texts):
-                flat_words, n_words = [], []
-                while at < len(texts) and len(flat_words) < 300_000:
-                    words = words_of(texts[at].as_py())
-                    flat_words += words
-                    n_words.append(len(words))
-                    at += 1
-                number = known.numbers(flat_words)
-                ids = known.sequence(number).astype("<i2").tobytes()
+            for some in _groups(batch, READ_AT_ONCE):
+                n_words, words = _words(some.column("text"))
+                number, _ = known.all_numbers(words)
+                ids = known.sequence(number).tobytes()
                 upto = np.append(0, 2 * np.cumsum(known.sizes[number]))[np.append(0, np.cumsum(n_words))].tolist()
                 rows = [end + ids[a:b] + end for a, b in zip(upto, upto[1:])]
                 counts = [A.n_windows(len(row) // 2 - 1) for row in rows]
@@ -279,8 +296,7 @@ def fit(texts: DataFrame, bias: A.PairBias, end: int, rounds: int = ROUNDS) -> n
                 fitter.take(ids, sizes, seed=zlib.crc32(ids[:8].tobytes()))
                 n += len(ids)
             if n:
-                fitted = A.pack(fitter.params)
-                yield pa.RecordBatch.from_arrays([pa.array([fitted.astype("<f8").tobytes()], pa.binary()), pa.array([float(n)])], names=["sums", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([fitter.flat.astype("<f8").tobytes()], pa.binary()), pa.array([float(n)])], names=["sums", "n"])
 
         return run
 
@@ -343,17 +359,9 @@ def _scored(docs: DataFrame, subwords: Subwords, flat: np.ndarray, bias: A.PairB
         scorer = A.Scorer(A.unpack(weights), pair_bias, spelling.begin_classes)
         spelling.end_share = end_count / max(1, total)
         for batch in batches:
-            texts = batch.column("text")
-            at = 0
-            while at < len(texts):
-                flat_words, n_words, begin = [], [], at
-                while at < len(texts) and len(flat_words) < 300_000:
-                    words = words_of(texts[at].as_py())
-                    flat_words += words
-                    n_words.append(len(words))
-                    at += 1
-                n_words = np.array(n_words, np.int64)
-                number = known.numbers(flat_words)
+            for some in _groups(batch, READ_AT_ONCE):
+                n_words, words = _words(some.column("text"))
+                number, coded = known.all_numbers(words)
                 sizes, counts = known.sizes[number], known.counts[number]
                 owner = np.repeat(np.arange(len(n_words)), n_words)
                 per_text = np.bincount(owner, sizes, len(n_words)).astype(np.int64)
@@ -364,10 +372,9 @@ def _scored(docs: DataFrame, subwords: Subwords, flat: np.ndarray, bias: A.PairB
                 seen = np.bincount(owner, is_common, len(n_words)).astype(np.int64) + (end_count > 0)
                 rare = np.flatnonzero(~is_common)
                 cuts = pa.array(np.searchsorted(owner[rare], np.arange(len(n_words) + 1)), pa.int32())
-                names = pa.array([flat_words[n] for n in rare.tolist()], pa.binary())
-                own = batch.slice(begin, at - begin)
+                names = coded.dictionary.take(coded.indices.take(pa.array(rare)))
                 columns = [
-                    own.column("row"), own.column("doc_id"), own.column("held_out"), pa.array(n_words + 1), pa.array(logged), pa.array(seen), pa.array(scores),
+                    some.column("row"), some.column("doc_id"), some.column("held_out"), pa.array(n_words + 1), pa.array(logged), pa.array(seen), pa.array(scores),
                     pa.ListArray.from_arrays(cuts, names), pa.ListArray.from_arrays(cuts, pa.array(owns[rare])),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in ROWS.split(", ")])
